@@ -6,21 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import mixing, pii, quality_rules, sharding
 from .common import table
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_surrogates": op2_surrogates,
+        "op3_mixing": op3_mixing,
+        "op5_sharding": op5_sharding,
         "op9_quality_rules": op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_mixing": mixing.oracle(),
+        "op5_sharding": sharding.oracle(),
         "op9_quality_rules": quality_rules.oracle(),
     }
