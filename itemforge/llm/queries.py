@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality_rules, sharding
+from . import mixing, packing, pii, quality_rules, sharding
 from .common import table
 
 
@@ -27,12 +27,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_surrogates": op2_surrogates,
         "op3_mixing": op3_mixing,
         "op5_sharding": op5_sharding,
         "op9_quality_rules": op9_quality_rules,
+        "op10_packing": op10_packing,
     }
 
 
