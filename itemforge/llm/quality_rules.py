@@ -2,7 +2,7 @@
 
 Seven rules look at counts of a document's whole text and vote good (1), bad (-1) or abstain (0).
 Expectation-maximisation over the counts of vote patterns (at most 3**7 rows, whatever the corpus)
-estimates how often each rule is right; a document's posterior probability of being good replaces
+estimates how often each rule is right on good and on bad documents; a document's posterior probability of being good replaces
 the usual all-must-pass filter.  Everything per document is built-in column functions.
 
 Defined results: null and empty texts have no words, fail the base rule and are not kept; a null
@@ -13,7 +13,6 @@ id stays null; repeated rows are judged alike, one output row each; an empty tab
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,15 +22,17 @@ from .common import let, materialise, words
 
 RULES = ("symbols", "repeats", "duplicate_lines", "word_length", "capitals", "sentence_ends", "exclamations")
 ROUNDS = 25
-#: Pseudo-votes behind each accuracy, and the bounds that keep a rule informative and fallible.
-PRIOR_VOTES, PRIOR_RIGHT, ACCURACY = 20.0, 16.0, (0.55, 0.99)
-PRIOR = (0.05, 0.95)
+#: A rule's accuracy on good documents and on bad ones: start, pseudo-votes of the start, bounds.
+#: Good documents trip a rule in one of 100 cases at most; a bad one trips few of them.  Bounds keep a bad vote evidence for bad.
+ON_GOOD, ON_BAD = (0.995, 20.0, 0.99, 0.999), (0.3, 20.0, 0.21, 0.999)
+PRIOR = (0.05, 0.9)
 
 
 @dataclass(frozen=True)
 class RuleModel:
     prior: float
-    accuracies: tuple[float, ...]
+    on_good: tuple[float, ...]
+    on_bad: tuple[float, ...]
 
 
 def repeated_words(ws: Column) -> Column:
@@ -136,7 +137,7 @@ def votes() -> list[Column]:
     return [
         rule("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
         rule("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 15 * n_words"),
-        rule("100 * n_dup_lines > 30 * n_lines", "n_dup_lines = 0 and n_lines > 2"),
+        rule("100 * n_dup_lines > 50 * n_lines", "n_dup_lines = 0 and n_lines > 2"),
         rule("word_chars < 3 * n_words or word_chars > 12 * n_words", "2 * word_chars >= 7 * n_words and word_chars <= 9 * n_words"),
         rule("100 * n_upper > 30 * word_chars", "100 * n_upper <= 15 * word_chars"),
         rule("100 * n_ends < n_words", "40 * n_ends >= n_words"),
@@ -144,29 +145,35 @@ def votes() -> list[Column]:
     ]
 
 
-def log_odds(model: RuleModel, vote: Sequence) -> object:
-    """Of good against bad; `vote` holds columns or numbers."""
-    total = math.log(model.prior / (1 - model.prior))
-    for v, a in zip(vote, model.accuracies, strict=True):
-        total = total + v * math.log(a / (1 - a))
-    return total
+def weights(model: RuleModel) -> list[tuple[float, float]]:
+    """Log odds of good that a good vote and a bad vote of each rule add."""
+    return [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in zip(model.on_good, model.on_bad, strict=True)]
+
+
+def bounded(right: float, cast: float, start: float, pseudo: float, low: float, high: float) -> float:
+    return min(max((right + start * pseudo) / (cast + pseudo), low), high)
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]]) -> RuleModel:
     """EM over (votes, number of documents) rows, of which there are at most 3**len(RULES)."""
-    model = RuleModel(0.8, (0.8,) * len(RULES))
+    model = RuleModel(0.8, (ON_GOOD[0],) * len(RULES), (ON_BAD[0],) * len(RULES))
     n = sum(c for _, c in patterns)
     if not n:
         return model
     for _ in range(ROUNDS):
-        post = [(v, c, 1 / (1 + math.exp(-log_odds(model, v)))) for v, c in patterns]
-        acc = []
+        ws, odds = weights(model), math.log(model.prior / (1 - model.prior))
+        post = []
+        for v, c in patterns:
+            logit = odds + sum(w[0] if x > 0 else w[1] if x < 0 else 0.0 for w, x in zip(ws, v, strict=True))
+            post.append((v, c, 1 / (1 + math.exp(-logit))))
+        good, bad = [], []
         for j in range(len(RULES)):
-            right = sum(c * (p if v[j] > 0 else 1 - p) for v, c, p in post if v[j])
-            cast = sum(c for v, c, _ in post if v[j])
-            acc.append(min(max((right + PRIOR_RIGHT) / (cast + PRIOR_VOTES), ACCURACY[0]), ACCURACY[1]))
+            total = [sum(c * p for v, c, p in post if v[j] == x) for x in (1, -1)]
+            other = [sum(c * (1 - p) for v, c, p in post if v[j] == x) for x in (1, -1)]
+            good.append(bounded(total[0], sum(total), *ON_GOOD))
+            bad.append(bounded(other[1], sum(other), *ON_BAD))
         prior = min(max(sum(c * p for _, c, p in post) / n, PRIOR[0]), PRIOR[1])
-        model = RuleModel(prior, tuple(acc))
+        model = RuleModel(prior, tuple(good), tuple(bad))
     return model
 
 
@@ -177,7 +184,10 @@ def learn(counted: DataFrame) -> RuleModel:
 
 
 def posterior(model: RuleModel) -> Column:
-    return 1 / (1 + F.exp(-log_odds(model, votes())))
+    logit = F.lit(math.log(model.prior / (1 - model.prior)))
+    for v, (good, bad) in zip(votes(), weights(model), strict=True):
+        logit = logit + F.when(v > 0, good).when(v < 0, bad).otherwise(0.0)
+    return 1 / (1 + F.exp(-logit))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,7 +215,7 @@ def oracle() -> str:
     rules = {
         "symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
         "repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 15 * n_words"),
-        "duplicate_lines": ("100 * n_dup_lines > 30 * n_lines", "n_dup_lines = 0 and n_lines > 2"),
+        "duplicate_lines": ("100 * n_dup_lines > 50 * n_lines", "n_dup_lines = 0 and n_lines > 2"),
         "word_length": ("word_chars < 3 * n_words or word_chars > 12 * n_words", "2 * word_chars >= 7 * n_words and word_chars <= 9 * n_words"),
         "capitals": ("100 * n_upper > 30 * word_chars", "100 * n_upper <= 15 * word_chars"),
         "sentence_ends": ("100 * n_ends < n_words", "40 * n_ends >= n_words"),
@@ -213,13 +223,16 @@ def oracle() -> str:
     }
     k = range(len(rules))
     vote = ", ".join(f"case when {b} then -1 when {g} then 1 else 0 end as v{j}" for j, (b, g) in enumerate(rules.values()))
-    vs, accs = ", ".join(f"v{j}" for j in k), ", ".join(f"a{j}" for j in k)
-    odds = "ln(pi / (1 - pi)) + " + " + ".join(f"v{j} * ln(a{j} / (1 - a{j}))" for j in k)
+    vs, acc = ", ".join(f"v{j}" for j in k), ", ".join(f"g{j}, b{j}" for j in k)
+    odds = "ln(pi / (1 - pi)) + " + " + ".join(f"case when v{j} > 0 then ln(g{j} / (1 - b{j})) when v{j} < 0 then ln((1 - g{j}) / b{j}) else 0 end" for j in k)
     post = f"1 / (1 + exp(-({odds})))"
-    step = ", ".join(
-        f"least(greatest((sum(case when v{j} > 0 then c * p when v{j} < 0 then c * (1 - p) else 0 end) + {PRIOR_RIGHT}) / (sum(case when v{j} <> 0 then c else 0 end) + {PRIOR_VOTES}), {ACCURACY[0]}::double), {ACCURACY[1]}::double)"
-        for j in k
-    )
+    start = ", ".join(f"{ON_GOOD[0]}::double as g{j}, {ON_BAD[0]}::double as b{j}" for j in k)
+
+    def rate(j: int, wanted: str, share: str, first: float, pseudo: float, low: float, high: float) -> str:
+        right = f"sum(case when v{j} {wanted} 0 then c * {share} else 0 end) + {first * pseudo}::double"
+        return f"least(greatest(({right}) / (sum(case when v{j} <> 0 then c * {share} else 0 end) + {pseudo}::double), {low}::double), {high}::double)"
+
+    step = ", ".join(rate(j, ">", "p", *ON_GOOD) + ", " + rate(j, "<", "(1 - p)", *ON_BAD) for j in k)
     return f"""
 with recursive docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 split as (select r, doc_id, t, list_filter(regexp_split_to_array(t, '[ \\t-\\r]+'), lambda x: x <> '') as w,
@@ -238,12 +251,12 @@ feat as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, '')
 judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {vote} from feat),
 pat as materialized (select {vs}, count(*)::double as c from judged where not base_failed group by {vs}),
 em as (
-  select 0 as it, 0.8::double as pi, {", ".join(f"0.8::double as a{j}" for j in k)}
+  select 0 as it, 0.8::double as pi, {start}
   union all
   select it + 1, least(greatest(sum(c * p) / sum(c), {PRIOR[0]}::double), {PRIOR[1]}::double), {step}
   from (select em.it, pat.*, {post} as p from em, pat where em.it < {ROUNDS}) group by it
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and {post} >= 0.5 as kept
-from judged, (select pi, {accs} from em order by it desc limit 1)
+from judged, (select pi, {acc} from em order by it desc limit 1)
 """
