@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, packing, pii, quality_classifier, quality_rules, sharding
+from . import language_id, mixing, nearest, packing, pii, quality_classifier, quality_rules, sharding, url_filters
 from .common import table
 
 
@@ -34,6 +34,15 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest.search(rows, nearest.every_nth(rows))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -49,6 +58,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op5_sharding": op5_sharding,
         "op6_language_id": op6_language_id,
+        "op7_nearest": op7_nearest,
+        "op8_url_filters": op8_url_filters,
         "op9_quality_rules": op9_quality_rules,
         "op10_packing": op10_packing,
     }
@@ -58,5 +69,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": mixing.oracle(),
         "op5_sharding": sharding.oracle(),
+        "op8_url_filters": url_filters.oracle(),
         "op9_quality_rules": quality_rules.oracle(),
     }
