@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, nearest, packing, pii, quality_classifier, quality_rules, sharding, url_filters
+from . import language_id, mixing, nearest, ngram_join, packing, pii, quality_classifier, quality_rules, sharding, url_filters
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_surrogates": op2_surrogates,
         "op3_mixing": op3_mixing,
+        "op4_ngram_join": op4_ngram_join,
         "op5_sharding": op5_sharding,
         "op6_language_id": op6_language_id,
         "op7_nearest": op7_nearest,
