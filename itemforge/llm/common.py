@@ -6,7 +6,11 @@ an empty one everywhere.
 
 from __future__ import annotations
 
+import importlib
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +39,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers, once a Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_itemforge_sent", False):
+        return
+    package = importlib.import_module(__name__.split(".")[0])
+    root = os.path.dirname(package.__file__)
+    target = os.path.join(tempfile.mkdtemp(), f"{package.__name__}.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(target)
+    context._itemforge_sent = True
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_BREAK, -1), "")
 

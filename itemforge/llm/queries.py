@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import language_id, mixing, nearest, ngram_join, packing, pii, quality_classifier, quality_rules, sharding, url_filters
-from .common import table
+from .common import ship, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     forest = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
     return quality_classifier.score(docs, forest)
@@ -26,6 +27,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
@@ -34,11 +36,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.train(docs))
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     rows = table(spark, sf_dir, "embeddings")
     return nearest.search(rows, nearest.every_nth(rows))
 
@@ -52,6 +56,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
