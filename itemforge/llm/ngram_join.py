@@ -3,19 +3,25 @@
 Texts become sets of hashed word shingles; equal sets collapse to one representative first.  Two sets
 link when shared * scale >= similarity * union, in whole numbers.
 
-Shingles have one global order: rare ones first, then frequent ones by document count, then those that
-were not counted (the upper part of the hash range, which prefixes hardly reach).  Of a set of n,
-e = n * (scale - similarity) // scale members at most can be missing from a partner, and
-d = n * (scale - similarity) // similarity bounds what either lacks.  So a linked pair
+Shingles have one global order: unique ones first, then rare and frequent ones by document count
+(in powers of two; exact for the most frequent), then those that were not counted (the upper part of the hash range, which prefixes hardly
+reach).  Of a set of n, e = n * (scale - similarity) // scale members at most can be missing from a
+partner, and d = n * (scale - similarity) // similarity bounds what either lacks.  So a linked pair
 
-* shares a member of both prefixes of e + 1: where it is rare, it is a key by itself;
+* shares a member of both prefixes of e + 1: where it is rare, it is a key by itself (unique ones
+  can't be shared and are no keys);
 * or only members from the frequent classes on, and then, in both prefixes extended to e + d + 2, some
   two shared members are neighbours in both orders: neighbouring pairs of frequent members are keys.
 
-Either way a linked pair shares a key, so nothing is lost, and no set has more than n keys.  Sets that
-share keys form clusters (components over key hubs).  A cluster of bounded size is compared in one
-task; in a larger one each list of sets under a key is, and long lists in pairs of bounded blocks.
-Tasks compare by products of membership matrices and return each set's smallest linked id, never pairs.
+Counts are kept in a table of bounded size, whose collisions only make a shingle seem more frequent.
+Where a corpus fills more than half of it, unique and rare shingles count as frequent.
+
+Either way a linked pair shares a key, so nothing is lost, and no set has more than n keys.  Sizes of
+linked sets differ by the similarity's ratio at most, so a key counts within two neighbouring bands of
+sizes only.  Sets that share keys form clusters (components over key hubs).  A cluster is compared in
+one task, a larger one in pairs of bounded blocks or, where that sends fewer rows, by the lists of sets
+under its keys, long lists again in pairs of blocks.  Tasks compare by products of membership matrices
+and return each set's smallest linked id, never pairs.
 
 Defined results: null and empty texts have no shingles and link with nothing; a text with fewer words
 than a shingle has one, the whole sequence; a row of null id is counted, linked with nothing and has a
@@ -26,52 +32,103 @@ rows; other columns are never read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialise
 
 WORDS, SIMILARITY, SCALE = 3, 90, 100
-#: A shingle in so many documents is frequent; at most so many frequent ones are sent to executors, else the bar doubles.
-FREQUENT, MOST_FREQUENT = 32, 2_000_000
+#: A shingle in so many documents is frequent; at most so many get exact counts, else the bar for those doubles.
+FREQUENT, MOST_FREQUENT = 32, 500_000
 #: Rows and shingles that one task compares; keys of so few rows are compared whole within large clusters.
 GROUP_ROWS, GROUP_SHINGLES, SHORT_LIST = 1024, 2_000_000, 64
-#: Shingles that one counting task holds.
-COUNTED = 4_000_000
+#: Shingles that one counting task holds; slots of the table at least and at most, and of a part;
+#: bytes hashed at once, and of a slice of a batch.
+COUNTED, TABLE, PART, CHUNK, SLICE = 4_000_000, (1 << 16, 1 << 26), 1 << 16, 1 << 20, 8 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash; remembers a bounded number."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < 400_000:
-            self[word] = value
-        return value
-
-
-_HASHES = WordHashes()
-
-
-def shingles(data: bytes, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles of a UTF-8 text, A-Z in lower case."""
-    ws = data.lower().split()
-    h = np.fromiter(map(_HASHES.__getitem__, ws), dtype=np.uint64, count=len(ws))
-    width = min(n, len(ws))
-    if not width:
-        return h
-    out = np.full(len(h) - width + 1, width, dtype=np.uint64)
-    for i in range(width):
-        out = (out ^ (out >> np.uint64(29))) * MIX + h[i : len(h) - width + 1 + i]
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: A random value for each byte, and an odd base with its inverse modulo 2**64.
+BYTES = np.random.default_rng(20).integers(0, 2**64, size=256, dtype=np.uint64)
+BASE = 0xD1342543DE82EF95
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+@lru_cache(maxsize=1)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of INVERSE below `size`, by doubling."""
+    out = []
+    for base in (BASE, INVERSE):
+        p, k = np.ones(size, dtype=np.uint64), 1
+        while k < size:
+            p[k : 2 * k] = p[: min(k, size - k)] * np.uint64(pow(base, k, 1 << 64))
+            k *= 2
+        out.append(p)
+    return out[0], out[1]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of every word; a hash doesn't depend on the place."""
+    b = np.frombuffer(data, dtype=np.uint8)
+    edge = np.diff(np.concatenate([[True], SPACE[b], [True]]).astype(np.int8))
+    start, end = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+    size = max(CHUNK, 1 << int(len(b)).bit_length())
+    up, down = powers(size)
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(BYTES[b] * up[: len(b)], dtype=np.uint64)])
+    h = (total[end] - total[start]) * down[start]
+    return start, (h ^ (h >> np.uint64(32))) * MIX
+
+
+def cut_words(data: bytes) -> np.ndarray:
+    """Hashes of the words of one text, taken in chunks that end at white space."""
+    parts, at = [], 0
+    while at < len(data):
+        end = at + CHUNK
+        while end < len(data) and not SPACE[data[end]]:
+            end += 1
+        parts.append(word_hashes(data[at:end])[1])
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
+    out = np.full(max(0, len(h) - n + 1), n, dtype=np.uint64)
+    for i in range(n):
+        out = (out ^ (out >> np.uint64(29))) * MIX + h[i : len(h) - n + 1 + i]
     out ^= out >> np.uint64(32)
     out *= MIX
-    out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out ^ (out >> np.uint64(29))
+
+
+def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the n-word shingles of each UTF-8 text, A-Z in lower case."""
+    at = 0
+    while at < len(texts):
+        some, size = [texts[at]], len(texts[at])
+        while at + len(some) < len(texts) and size < CHUNK // 2:
+            some.append(texts[at + len(some)])
+            size += len(some[-1]) + 1
+        at += len(some)
+        if len(some) == 1:
+            bounds, h = np.array([0]), cut_words(some[0].lower())
+            bounds = np.array([0, len(h)])
+        else:
+            start, h = word_hashes(b" ".join(some).lower())
+            bounds = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in some]))
+        every = runs(h, n)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if b - a >= n:
+                yield np.unique(every[a : b - n + 1])
+            else:
+                yield runs(h[a:b], b - a) if b > a else h[:0]
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -79,8 +136,15 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def sets_of(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
-    for text in batch.column(1).cast(pa.binary()):
-        yield shingles(text.as_py() or b"", n)
+    return shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), n)
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about SLICE bytes, so that a task's arrays stay small."""
+    for b in batches:
+        rows = max(1, b.num_rows * SLICE // max(1, b.nbytes))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def allowances(size: int, similarity: int, scale: int) -> tuple[int, int]:
@@ -88,25 +152,45 @@ def allowances(size: int, similarity: int, scale: int) -> tuple[int, int]:
     return size * (scale - similarity) // scale, size * (scale - similarity) // similarity
 
 
-def keys_of(members: np.ndarray, frequent: np.ndarray, counts: np.ndarray, limit: np.uint64, similarity: int, scale: int) -> np.ndarray:
-    """Keys of one set.  frequent: sorted 48-bit prefixes; counts: their documents; limit: end of the counted range."""
+@dataclass(frozen=True)
+class Classes:
+    """frequent: sorted 48-bit prefixes, with their document counts; levels: logarithms of counts, by a prefix's remainder."""
+
+    frequent: np.ndarray
+    counts: np.ndarray
+    levels: np.ndarray
+    limit: np.uint64
+
+    def order(self, members: np.ndarray) -> np.ndarray:
+        """1 for unique, else about the document count; a value above all for the uncounted."""
+        short = members >> np.uint64(16)
+        out = np.int64(1) << self.levels[short % np.uint64(len(self.levels))].astype(np.int64)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, short), len(self.frequent) - 1)
+            hit = self.frequent[at] == short
+            out[hit] = self.counts[at[hit]]
+        out[members >= self.limit] = 1 << 62
+        return out
+
+    @property
+    def full(self) -> bool:
+        return 2 * np.count_nonzero(self.levels) > len(self.levels)
+
+
+def keys_of(members: np.ndarray, classes: Classes, full: bool, similarity: int, scale: int) -> np.ndarray:
+    """Keys of one set.  full: the table doesn't tell, so unique and rare count as frequent."""
     if len(members) < 2:
         return members[:0]  # equal sets only, and those have collapsed
-    short = members >> np.uint64(16)
-    at = np.searchsorted(frequent, short)
-    count = np.zeros(len(members), dtype=np.int64)
-    if len(frequent):
-        hit = frequent[np.minimum(at, len(frequent) - 1)] == short
-        count[hit] = counts[at[hit]]
-    count[members >= limit] = 1 << 62
+    kind = classes.order(members)
     e, d = allowances(len(members), similarity, scale)
-    order = np.lexsort((members, count))[: e + d + 2]
-    rare = count[order] == 0
-    single = members[order[: e + 1][rare[: e + 1]]]
-    both = np.flatnonzero(~rare[:-1] & ~rare[1:])
+    order = np.lexsort((members, kind))[: e + d + 2]
+    kind = kind[order]
+    rare = (kind[: e + 1] > 1) & (kind[: e + 1] < FREQUENT)
+    single = members[order[: e + 1][rare]] if not full else members[:0]
+    frequent = kind >= (0 if full else FREQUENT)
+    both = np.flatnonzero(frequent[:-1] & frequent[1:])
     left, right = members[order[both]], members[order[both + 1]]
-    pairs = ((left ^ (left >> np.uint64(31))) * MIX + right) * MIX
-    return np.concatenate([single, pairs])
+    return np.unique(np.concatenate([single, ((left ^ (left >> np.uint64(31))) * MIX + right) * MIX]))
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], similarity: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,30 +224,17 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], similarity: int, scale: int)
         label = lower
 
 
-def base_rows(source: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, s1, s2): size and 128-bit signature of each row's set."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size, high, low = [], [], []
-            for s in sets_of(b, n):
-                d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8")
-                size.append(len(s)), high.append(d[0]), low.append(d[1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["doc_id", "n", "s1", "s2"])
-
-    return source.mapInArrow(sign, "doc_id long, n long, s1 long, s2 long")
-
-
-def frequent_shingles(source: DataFrame, n: int, total: int, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted 48-bit prefixes below `limit` in FREQUENT rows or more (or a higher bar, see MOST_FREQUENT), and their counts.
+def count_shingles(source: DataFrame, n: int, limit: np.uint64) -> Classes:
+    """Classes of the shingles below `limit`, by the number of rows that have them.
 
     All rows count.  Each batch sends its shingles packed in six bytes, split by hash prefix, repeats
     as one entry with a count, so that a hot shingle costs an entry a batch.
     """
+    total = (source.agg(F.sum(F.length("text"))).first()[0] or 0) // 6
     bits = min(20, max(4, (total // COUNTED).bit_length()))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             parts = [s[: np.searchsorted(s, limit)] for s in sets_of(b, n)]
             if not parts:
                 continue
@@ -192,7 +263,7 @@ def frequent_shingles(source: DataFrame, n: int, total: int, limit: np.uint64) -
         times = np.frombuffer(b"".join(x.as_py() for x in t.column("times")), dtype="<u4")
         value, at = np.unique(np.concatenate([one, more]), return_inverse=True)
         total = np.bincount(at, weights=np.r_[np.ones(len(one)), times], minlength=len(value)).astype(np.int64)
-        keep = total >= FREQUENT
+        keep = total > 1
         return pa.table({"shingle": pa.array(value[keep].astype(np.int64), pa.int64()), "n": pa.array(total[keep], pa.int64())})
 
     packed = source.mapInArrow(pack, "part int, one binary, more binary, times binary")
@@ -201,26 +272,39 @@ def frequent_shingles(source: DataFrame, n: int, total: int, limit: np.uint64) -
     bar = FREQUENT
     while sum(v for b, v in by_size.items() if 2**b >= bar) > MOST_FREQUENT:
         bar *= 2
-    rows = found.where(F.col("n") >= bar).toPandas().sort_values("shingle")
-    return rows["shingle"].to_numpy(dtype=np.uint64), rows["n"].to_numpy(dtype=np.int64)
+    rows = found.where(F.col("n") >= bar).toPandas().sort_values("shingle")  # MOST_FREQUENT at most
+    size = min(TABLE[1], max(TABLE[0], 1 << (4 * sum(by_size.values())).bit_length()))
 
+    def part(t: pa.Table) -> pa.Table:
+        levels = np.zeros(PART, dtype=np.uint8)
+        place = np.asarray(t.column("place"), dtype=np.int64)
+        np.maximum.at(levels, place % PART, np.log2(np.asarray(t.column("n"), dtype=np.int64)).astype(np.uint8))
+        return pa.table({"part": pa.array([int(place[0]) // PART], pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary())})
 
-def keyed(source: DataFrame, n: int, total: int, similarity: int, scale: int) -> DataFrame:
-    """(doc_id, n, s1, s2, keys) of every row with keys."""
+    placed = found.select("n", F.pmod("shingle", F.lit(size)).alias("place"))
+    levels = np.zeros(size, dtype=np.uint8)
+    for r in placed.groupBy(F.floor(F.col("place") / PART)).applyInArrow(part, "part int, levels binary").collect():  # TABLE[1] bytes at most
+        levels[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["levels"], dtype=np.uint8)
+    return Classes(rows["shingle"].to_numpy(dtype=np.uint64), rows["n"].to_numpy(dtype=np.int64), levels, limit)
+
+
+def keyed(source: DataFrame, n: int, similarity: int, scale: int) -> DataFrame:
+    """(doc_id, n, s1, s2, keys): size, 128-bit signature and keys of each row's set."""
     limit = np.uint64(min(2**64 - 1, 2**64 * 4 * (scale - similarity) // scale))
-    shared = source.sparkSession.sparkContext.broadcast((*frequent_shingles(source, n, total, limit), limit))
+    shared = source.sparkSession.sparkContext.broadcast(count_shingles(source, n, limit))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts, end = shared.value
-        for b in batches:
+        classes = shared.value
+        full = classes.full
+        for b in sliced(batches):
             size, high, low, keys = [], [], [], []
             for s in sets_of(b, n):
                 d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8")
                 size.append(len(s)), high.append(d[0]), low.append(d[1])
-                keys.append(signed(np.unique(keys_of(s, frequent, counts, end, similarity, scale))))
+                keys.append(signed(keys_of(s, classes, full, similarity, scale)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "keys"])
 
-    return source.mapInArrow(index, "doc_id long, n long, s1 long, s2 long, keys array<long>").where(F.size("keys") > 0)
+    return source.mapInArrow(index, "doc_id long, n long, s1 long, s2 long, keys array<long>")
 
 
 def groups(postings: DataFrame) -> DataFrame:
@@ -229,25 +313,33 @@ def groups(postings: DataFrame) -> DataFrame:
     placed = materialise(postings.join(cluster, "doc_id"), "ngram-placed")
     each = placed.select("component", "doc_id", "n").distinct()
     sizes = each.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    sizes = sizes.withColumn("small", (F.col("rows") <= GROUP_ROWS) & (F.col("shingles") <= GROUP_SHINGLES)).select("component", "small")
-    whole = each.join(sizes.where("small"), "component").select(F.concat(F.lit("c"), F.col("component")).alias("gid"), "doc_id")
-    large = placed.join(sizes.where("not small"), "component")
+    sizes = sizes.withColumn("blocks", needed("rows", "shingles"))
+    by_key = placed.groupBy("component").agg(F.sum(F.when(F.col("m") <= SHORT_LIST, 1).otherwise(needed("m", "size"))).alias("sent"))
+    sizes = sizes.join(by_key, "component").withColumn("whole", F.col("rows") * F.col("blocks") <= F.col("sent")).select("component", "blocks", "whole")
+    whole = paired(each.join(sizes.where("whole"), "component"), "c", "component")
+    large = placed.join(sizes.where("not whole").select("component"), "component")
     lists = large.where(F.col("m") <= SHORT_LIST).groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))  # SHORT_LIST at most
     lists = lists.select("docs").distinct().select(F.concat(F.lit("l"), F.xxhash64("docs")).alias("gid"), F.explode("docs").alias("doc_id"))
-    blocks = large.where(F.col("m") > SHORT_LIST).select(
-        "key", "doc_id", F.greatest(F.ceil(F.col("m") / GROUP_ROWS), F.ceil(F.col("size") / GROUP_SHINGLES)).cast("int").alias("blocks")
-    )
-    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    blocks = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    blocks = blocks.select(F.concat_ws("-", F.lit("b"), "key", F.least("own", "other"), F.greatest("own", "other")).alias("gid"), "doc_id")
-    return whole.unionByName(lists).unionByName(blocks)
+    long = large.where(F.col("m") > SHORT_LIST).select("key", "doc_id", needed("m", "size").alias("blocks"))
+    return whole.unionByName(lists).unionByName(paired(long, "b", "key"))
+
+
+def needed(rows: str, shingles: str) -> Column:
+    return F.greatest(F.ceil(F.col(rows) / GROUP_ROWS), F.ceil(F.col(shingles) / GROUP_SHINGLES)).cast("int")
+
+
+def paired(rows: DataFrame, prefix: str, key: str) -> DataFrame:
+    """(gid, doc_id): each row in all pairs of its block with one of the `blocks` of its key."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return rows.select(F.concat_ws("-", F.lit(prefix), key, F.least("own", "other"), F.greatest("own", "other")).alias("gid"), "doc_id")
 
 
 def compare(source: DataFrame, grouped: DataFrame, n: int, similarity: int, scale: int) -> DataFrame:
     """(a, b): each set's id and the smallest id of its component within a group."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(b, n)], pa.binary())], ["doc_id", "members"])
 
     def meet(t: pa.Table) -> pa.Table:
@@ -266,13 +358,15 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     if 10 * similarity < 7 * scale or similarity > scale:
         raise ValueError("the prefixes need a similarity from 0.7 to 1")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = materialise(base_rows(source, words), "ngram-base")
-    real = base.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = materialise(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "ngram-classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    found = materialise(keyed(source.where("doc_id is not null"), words, total, similarity, scale), "ngram-keys")
-    chosen = found.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2").distinct(), ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"])
-    posted = chosen.select("doc_id", "n", F.explode("keys").alias("key"))
+    base = materialise(keyed(source, words, similarity, scale), "ngram-base")
+    real = base.select("doc_id", "n", "s1", "s2").where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    classes = materialise(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "ngram-classes")
+    indexed = base.where(F.col("doc_id").isNotNull() & (F.size("keys") > 0))
+    chosen = indexed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"])
+    band = F.floor(F.log("n") / float(1.0001 * np.log(scale / similarity))) if similarity < scale else F.col("n")
+    posted = chosen.select("doc_id", "n", F.explode("keys").alias("key"), band.alias("band"))
+    posted = posted.select("doc_id", "n", F.explode(F.array("band", F.col("band") + 1)).alias("level"), "key")
+    posted = posted.select("doc_id", "n", F.xxhash64("key", "level").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("hub"), F.sum("n").alias("size")).where("m > 1")
     postings = materialise(posted.join(shared, "key"), "ngram-postings")
     grouped = materialise(groups(postings), "ngram-groups")
