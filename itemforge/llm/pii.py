@@ -230,7 +230,7 @@ def replaced(text: Column, key: str, overrides: Column) -> Column:
 
     def one(e: Column) -> Column:
         def put(x: Column) -> Column:
-            own = F.element_at(F.filter(overrides, lambda o: (o["kind"] == x["kind"]) & (o["canon"] == x["canon"]) & (o["country"] == x["country"])), 1)["sc"] if overrides is not None else None
+            own = F.get(F.filter(overrides, lambda o: (o["kind"] == x["kind"]) & (o["canon"] == x["canon"]) & (o["country"] == x["country"])), F.lit(0))["sc"] if overrides is not None else None
             base = surrogate(x["kind"], x["canon"], x["country"], F.lit(0), key)
             return render(e, x["kind"], base if own is None else F.coalesce(own, base))
 
