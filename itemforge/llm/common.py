@@ -13,6 +13,9 @@ import uuid
 import zipfile
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +112,54 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select("v", "v").distinct()
     )
+
+
+class IdFilter:
+    """A Bloom filter of long ids, of 8 MB at most whatever their number; never misses an id.
+
+    Built in parts on the executors.  It spares rows a shuffle before an exact join; where it is full it
+    lets all pass and the join still decides.
+    """
+
+    MOST, PART = 1 << 26, 1 << 19
+
+    def __init__(self, ids: DataFrame, column: str):
+        spark = ids.sparkSession
+        self.size = min(self.MOST, max(self.PART, 1 << (16 * ids.count()).bit_length()))
+        size, width = self.size, self.PART
+
+        def part(t: pa.Table) -> pa.Table:
+            bits = np.zeros(width, dtype=bool)
+            place = np.asarray(t.column("place"), dtype=np.int64)
+            bits[place % width] = True
+            return pa.table({"part": pa.array([int(place[0]) // width], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+        h = F.xxhash64(column)
+        places = ids.select(F.explode(F.array(F.pmod(h, F.lit(size)), F.pmod(F.shiftright(h, 32), F.lit(size)))).alias("place")).distinct()
+        bits = np.zeros(size // 8, dtype=np.uint8)
+        for r in places.groupBy(F.floor(F.col("place") / width)).applyInArrow(part, "part int, bits binary").collect():  # MOST bits at most
+            bits[r["part"] * width // 8 : (r["part"] + 1) * width // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+        self.bits = spark.sparkContext.broadcast(bits)
+
+    def may_hold(self) -> Callable[[np.ndarray], np.ndarray]:
+        """For use on executors: xxhash64 values of ids to booleans."""
+        size, shared = self.size, self.bits
+
+        def look(h: np.ndarray) -> np.ndarray:
+            bits = shared.value
+            found = np.ones(len(h), dtype=bool)
+            for place in (h % size, (h >> 32) % size):
+                found &= (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+            return found
+
+        return look
+
+    def column(self, doc_id: Column) -> Column:
+        """Whether an id may be among those of the filter."""
+        look = self.may_hold()
+
+        def test(h: pd.Series) -> pd.Series:
+            return pd.Series(look(h.to_numpy(dtype=np.int64)))
+
+        test.__annotations__ = {"h": pd.Series, "return": pd.Series}
+        return F.pandas_udf(test, "boolean")(F.xxhash64(doc_id))

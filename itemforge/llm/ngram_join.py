@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import IdFilter, components, materialise
 
 WORDS, SIMILARITY, SCALE = 3, 90, 100
 #: A shingle in so many documents is frequent; at most so many get exact counts, else the bar for those doubles.
@@ -338,8 +338,11 @@ def paired(rows: DataFrame, prefix: str, key: str) -> DataFrame:
 def compare(source: DataFrame, grouped: DataFrame, n: int, similarity: int, scale: int) -> DataFrame:
     """(a, b): each set's id and the smallest id of its component within a group."""
 
+    look = IdFilter(grouped.select("doc_id").distinct(), "doc_id").may_hold()
+
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
+            b = b.filter(pa.array(look(np.asarray(b.column(2), dtype=np.int64))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(b, n)], pa.binary())], ["doc_id", "members"])
 
     def meet(t: pa.Table) -> pa.Table:
@@ -348,8 +351,8 @@ def compare(source: DataFrame, grouped: DataFrame, n: int, similarity: int, scal
         a, b = linked(np.asarray(t.column("doc_id"), dtype=np.int64), sets, similarity, scale)
         return pa.table({"a": a[a != b], "b": b[a != b]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    wanted = source.join(grouped.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = wanted.mapInArrow(expand, "doc_id long, members binary")
+    # few texts pass the filter, so texts aren't shuffled; the join with groups is exact
+    sets = source.withColumn("h", F.xxhash64("doc_id")).mapInArrow(expand, "doc_id long, members binary")
     return sets.join(grouped, "doc_id").select("gid", "doc_id", "members").groupBy("gid").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -386,7 +389,9 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     """The rows of `docs` whose id is the smallest of its component, columns unchanged; of rows that share an id, one."""
     judged = materialise(join(docs, doc_id, text, **options).where(F.col("doc_id").isNotNull()), "ngram-judged")
     gone = judged.where("doc_id <> component_id").select(F.col("doc_id").alias("~id")).distinct()
-    kept = docs.join(gone, F.col(doc_id) == F.col("`~id`"), "left_anti")
+    maybe = IdFilter(gone, "~id").column(F.col(doc_id))
+    # only rows that the filter can't clear meet the exact join
+    kept = docs.where(~maybe).unionByName(docs.where(maybe).join(gone, F.col(doc_id) == F.col("`~id`"), "left_anti"))
     repeated = judged.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("~id"))
     if not repeated.limit(1).count():
         return kept
