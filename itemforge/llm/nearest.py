@@ -7,8 +7,9 @@ at m, footrule distance is a constant less twice the sum of m - max(rank, rank)
 which the walk accumulates.  The nearest by footrule, and all that are about as near as the fifth,
 are ranked again by exact cosine in double precision.
 
-Recall on vectors without any structure (the worst case) is 0.96 and more with the defaults; blocks of
-RERANK rows or fewer are exact.
+Recall with the defaults was 0.98 to 1.00 on test vectors with hardly any structure; blocks of
+RERANK rows or fewer are exact.  Without structure many rows are about as near as the fifth, and the second
+ranking is then close to a scan.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, or whose
 length isn't the table's most frequent one, take no part; nor do rows of null id.  Repeated query rows
@@ -83,7 +84,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         if len(ids) > rerank:
             far = full - files.closeness(near[k])
             part = np.partition(far, [top - 1, rerank - 1])
-            rows = np.flatnonzero(far <= max(part[rerank - 1], 1.25 * part[top - 1]))
+            rows = np.flatnonzero(far <= max(part[rerank - 1], 2 * part[top - 1]))
         rows = rows[ids[rows] != query_ids[k]]
         cosine = (x[rows] * q[k]).sum(axis=1)
         best = np.lexsort((ids[rows], -cosine))[:top]
