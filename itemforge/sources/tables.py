@@ -58,3 +58,11 @@ def stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, ts, items): an event's type and value bucket as items."""
     kinds = F.pmod(F.crc32(F.col("event_type").cast("binary")), F.lit(50)).cast("int")
     return table(spark, sf_dir, "events").select("event_id", "ts", F.array(kinds, F.expr("100 + least(greatest(cast(floor(value / 10) as int), 0), 50)")).alias("items"))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`df` computed once, in the session's shared checkpoint folder; a folder of our own only where none is named."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    return df.checkpoint()

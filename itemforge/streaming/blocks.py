@@ -14,14 +14,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.codetable import Compressor, encoded, lengths
+from ..sources.tables import kept
 
 
 def blocks(rows: DataFrame, order: list[str], size: int, offset: int = 0) -> DataFrame:
     """A block number for each row of a finite stream.
 
     The row number is a two-level prefix sum: ranges of the order are counted, then numbered inside.
+    Bounds of ranges are sampled, so the ranged rows are kept: both levels must see the same bounds.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("~part", F.spark_partition_id())
+    ranged = kept(rows.repartitionByRange(*order).withColumn("~part", F.spark_partition_id()))
     inside = Window.partitionBy("~part").orderBy(*order)
     numbered = ranged.withColumn("~n", F.row_number().over(inside))
     counts = ranged.groupBy("~part").agg(F.count("*").alias("~c"))
