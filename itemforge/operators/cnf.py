@@ -176,3 +176,33 @@ def random_theory(n_variables: int, clause_size: int, n_clauses: int, seed: int
 
     rng = random.Random(seed)
     return [tuple(sorted(v * rng.choice((-1, 1)) for v in rng.sample(range(1, n_variables + 1), clause_size))) for _ in range(n_clauses)]
+
+
+def leave_one_out(theory: Sequence[Clause], n_variables: int) -> list[int]:
+    """Models of the theory without each of its clauses."""
+    return [count_models([c for j, c in enumerate(theory) if j != i], n_variables) for i in range(len(theory))]
+
+
+def factored(theory: Iterable[Clause], minsup: int, most: int | None = None) -> tuple[list[Clause], int]:
+    """Literal sets common to `minsup` clauses become new variables: (clauses, literals saved).
+
+    A set of k literals in n clauses saves n * (k - 1) - (k + 1) literals: it is replaced in each by one literal, and
+    one clause says what that means.  Sets are intersections of two clauses, so closed; the greatest saving goes
+    first, until none is left.  most: literals of a set at most.  Models over the old variables stay the same.
+    """
+    clauses = [frozenset(c) for c in dict.fromkeys(tuple(sorted(c)) for c in theory)]
+    fresh, saved = max((abs(x) for c in clauses for x in c), default=0) + 1, 0
+    while True:
+        sets = {a & b for i, a in enumerate(clauses) for b in clauses[:i]}
+        ranked = []
+        for s in sets:
+            n = sum(s <= c for c in clauses)
+            gain = n * (len(s) - 1) - (len(s) + 1)
+            if len(s) > 1 and n >= minsup and gain > 0 and (most is None or len(s) <= most):
+                ranked.append((-gain, tuple(sorted(s))))
+        if not ranked:
+            return sorted((tuple(sorted(c)) for c in clauses), key=lambda c: (-len(c), c)), saved
+        lost, found = min(ranked)
+        s = frozenset(found)
+        clauses = [(c - s) | {fresh} if s <= c else c for c in clauses] + [s | {-fresh}]
+        fresh, saved = fresh + 1, saved - lost

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
+
 Itemset = tuple[int, ...]
 
 
@@ -67,7 +69,7 @@ class Compressor:
     """The greedy loop over binned rows.
 
     Rows are merged in Spark and the bins, far fewer, are compressed on the driver when there are at
-    most `most_bins`; larger data should be compressed a class or a block at a time.
+    most `most_bins`; of more, RowsCompressor leaves the bins on the executors.
     """
 
     def __init__(self, bins: list[tuple[Itemset, int]]):
@@ -85,7 +87,7 @@ class Compressor:
         merged = rows.groupBy("items").agg((F.sum("bin") if "bin" in rows.columns else F.count("*")).alias("n"))
         found = merged.limit(most_bins + 1).collect()
         if len(found) > most_bins:
-            raise ValueError(f"more than {most_bins} distinct rows; compress by class or block")
+            return RowsCompressor(merged.withColumnRenamed("n", "bin"))
         return cls([(tuple(r["items"]), r["n"]) for r in found])
 
     def support(self, s: Itemset) -> int:
@@ -174,6 +176,50 @@ class Compressor:
             if passes == "once" or not accepted:
                 return table, best
 
+    def pairs(self, table: Sequence[Itemset]) -> Counter:
+        """How often two codes cover the same row."""
+        frozen = [(s, frozenset(s)) for s in table]
+        out: Counter = Counter()
+        for b, n in self.bins:
+            left, used = b, []
+            for s, f in frozen:
+                if f <= left:
+                    used.append(s)
+                    left = left - f
+            used = sorted([*used, *((x,) for x in left)])
+            for i, s in enumerate(used):
+                for t in used[i + 1 :]:
+                    out[s, t] += n
+        return out
+
+    def grow_estimated(self, minsup: int = 1, rank: str = "gain", tries: int | None = None, rounds: int = 1000) -> tuple[list[Itemset], float]:
+        """As grow, but unions are tried by their estimated worth, the first that helps is accepted.
+
+        rank: usage (how often both codes meet), gain (bits that the rows would save), normalised (gain by item
+        of the union).  tries: candidates evaluated in a round, all where None; with few tries the search ends early.
+        """
+        table: list[Itemset] = []
+        best = self.size(table)
+        for _ in range(rounds):
+            usage = self.usage(table)
+            total = sum(usage.values())
+            worth = {}
+            for (a, b), n in self.pairs(table).items():
+                union = tuple(sorted({*a, *b}))
+                gain = pair_gain(total, usage[a], usage[b], n)
+                value = {"usage": n, "gain": gain, "normalised": gain / len(union)}[rank]
+                if n >= minsup and union not in table:
+                    worth[union] = max(value, worth.get(union, value))
+            for union in sorted(worth, key=lambda u: (-worth[u], u))[:tries]:
+                new = self.sorted([*table, union])
+                size = self.size(new)
+                if size < best - 1e-9:
+                    table, best = self.prune(new, usage, size)
+                    break
+            else:
+                return table, best
+        return table, best
+
     def grow(self, minsup: int = 1, rounds: int = 1000) -> tuple[list[Itemset], float]:
         """Candidates made on the fly: unions of two codes, the best accepted, until none helps."""
         table: list[Itemset] = []
@@ -190,6 +236,79 @@ class Compressor:
         return table, best
 
 
+class RowsCompressor(Compressor):
+    """The same loop where distinct rows stay on the executors: a job for each usage count, support or pair count."""
+
+    def __init__(self, merged: DataFrame):
+        self.rows = kept(merged)
+        cells = self.rows.select(F.explode("items").alias("x"), "bin").groupBy("x").agg(F.sum("bin").alias("c")).collect()  # a row an item
+        total = sum(r["c"] for r in cells)
+        self.standard = {r["x"]: -math.log2(r["c"] / total) for r in cells}
+        self.supports: dict[Itemset, int] = {}
+
+    def support(self, s: Itemset) -> int:
+        if s not in self.supports:
+            inside = F.size(F.array_except(F.array(*map(F.lit, s)), "items")) == 0
+            self.supports[s] = self.rows.where(inside).agg(F.sum("bin")).first()[0] or 0
+        return self.supports[s]
+
+    def usage(self, table: Sequence[Itemset]) -> Counter:
+        return Counter({tuple(r["items"]): r["usage"] for r in usages(self.rows, table).collect()})  # a row a code
+
+    def pairs(self, table: Sequence[Itemset]) -> Counter:
+        found = pair_usages(self.rows, table).collect()  # a row a pair of codes
+        return Counter({(tuple(r["a"]), tuple(r["b"])): r["n"] for r in found})
+
+
+def pair_gain(total: float, a: float, b: float, both: float) -> float:
+    """Bits that rows save, by estimate, where two codes of usages a and b become one in all rows they share."""
+    log = lambda x: x * math.log2(x) if x > 0 else 0.0
+    return log(total) - log(total - both) + log(both) + log(a - both) - log(a) + log(b - both) - log(b)
+
+
+def pair_usages(rows: DataFrame, table: Sequence[Itemset]) -> DataFrame:
+    """(a, b, n): how often two codes cover the same row, a before b; pairs are made inside a row, without a join."""
+    weight = F.col("bin") if "bin" in rows.columns else F.lit(1)
+    used = rows.select(F.array_sort(cover(F.col("items"), table)).alias("u"), weight.alias("w"))
+    later = lambda x, i: F.transform(F.slice("u", i + 2, F.size("u")), lambda y: F.struct(x.alias("a"), y.alias("b")))
+    each = used.select(F.explode(F.flatten(F.transform("u", later))).alias("p"), "w")
+    return each.groupBy("p").agg(F.sum("w").alias("n")).select("p.a", "p.b", "n")
+
+
+def estimated_gains(rows: DataFrame, table: Sequence[Itemset]) -> DataFrame:
+    """(a, b, n, gain) of all pairs of codes that meet."""
+    usage = usages(rows, table)
+    log = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
+    pairs = pair_usages(rows, table).join(usage.toDF("a", "x"), "a").join(usage.toDF("b", "y"), "b")
+    pairs = pairs.crossJoin(F.broadcast(usage.agg(F.sum("usage").alias("s"))))  # one row
+    n, x, y, s = map(F.col, ("n", "x", "y", "s"))
+    return pairs.select("a", "b", "n", (log(s) - log(s - n) + log(n) + log(x - n) - log(x) + log(y - n) - log(y)).alias("gain"))
+
+
+def table_size(rows: DataFrame, table: Sequence[Itemset]) -> DataFrame:
+    """(db_bits, table_bits, total_bits) of rows under a code table."""
+    counts = rows.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"))
+    standard = counts.select("item", "c").crossJoin(F.broadcast(counts.agg(F.sum("c").alias("t"))))  # one row
+    standard = standard.select("item", (-F.log2(F.col("c") / F.col("t"))).alias("std"))
+    usage = usages(rows, table)
+    spelled = usage.select("items", F.explode("items").alias("item")).join(standard, "item").groupBy("items").agg(F.sum("std").alias("std"))
+    sized = usage.join(spelled, "items").crossJoin(F.broadcast(usage.agg(F.sum("usage").alias("t"))))
+    length = -F.log2(F.col("usage") / F.col("t"))
+    out = sized.agg(F.sum(F.col("usage") * length).alias("db_bits"), F.sum(F.col("std") + length).alias("table_bits"))
+    return out.withColumn("total_bits", F.col("db_bits") + F.col("table_bits"))
+
+
+def scores(confused: DataFrame) -> DataFrame:
+    """(label, precision, recall, accuracy) from (label, predicted, n); null where nothing is predicted or labelled so."""
+    right = F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")))
+    by_label = confused.groupBy("label").agg(F.sum("n").alias("actual"), F.coalesce(right, F.lit(0)).alias("hits"))
+    by_call = confused.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("called"))
+    whole = confused.agg((F.coalesce(right, F.lit(0)) / F.sum("n")).alias("accuracy"))
+    joined = by_label.join(by_call, "label", "full").crossJoin(F.broadcast(whole))
+    hits = F.coalesce("hits", F.lit(0))
+    return joined.select("label", (hits / F.col("called")).alias("precision"), (hits / F.col("actual")).alias("recall"), "accuracy")
+
+
 def classify(rows: DataFrame, tables: dict[int, tuple[Sequence[Itemset], dict[Itemset, float]]]) -> DataFrame:
     """predicted: the label of the shortest code; margin: what the runner-up costs more."""
     out = rows
@@ -243,11 +362,15 @@ def cooccurrence(rows: DataFrame) -> DataFrame:
     return pairs.join(cells.groupBy(F.col("item").alias("a")).agg(F.count("*").alias("n_a")), "a").select("a", "b", "n", (F.col("n") / F.col("n_a")).alias("p"))
 
 
-def recommend(rows: DataFrame, top: int = 3) -> DataFrame:
-    """(tid, item, score): the items of highest summed conditional probability that a row lacks."""
+def recommend(rows: DataFrame, top: int = 3, combine: str = "sum") -> DataFrame:
+    """(tid, item, score): the items that a row lacks of highest conditional probability, combined over its items by sum, avg, min or max.
+
+    avg counts only the row's items that the item ever comes with.
+    """
+    combined = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[combine]
     pairs = cooccurrence(rows)
     cells = rows.select("tid", "items", F.explode("items").alias("a"))
-    scored = cells.join(pairs, "a").where(~F.array_contains("items", F.col("b"))).groupBy("tid", F.col("b").alias("item")).agg(F.sum("p").alias("score"))
+    scored = cells.join(pairs, "a").where(~F.array_contains("items", F.col("b"))).groupBy("tid", F.col("b").alias("item")).agg(combined("p").alias("score"))
     order = Window.partitionBy("tid").orderBy(F.desc("score"), "item")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 

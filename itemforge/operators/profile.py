@@ -51,9 +51,12 @@ def translated(rows: DataFrame, codes: DataFrame) -> DataFrame:
     return rows.select("tid", F.explode("items").alias("item")).join(codes, "item").groupBy("tid").agg(F.array_sort(F.collect_list("code")).alias("items"))
 
 
-def transposed(rows: DataFrame) -> DataFrame:
-    """(item, tids): vertical layout."""
-    return rows.select("tid", F.explode("items").alias("item")).groupBy("item").agg(F.array_sort(F.collect_set("tid")).alias("tids"))
+def transposed(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(item, part, tids): vertical form; an item of more than `most` rows has several parts of about that size."""
+    cells = rows.select("tid", F.explode("items").alias("item"))
+    parts = cells.groupBy("item").agg(F.ceil(F.count("*") / most).alias("~parts"))
+    dealt = cells.join(parts, "item").withColumn("part", F.pmod(F.xxhash64("tid"), F.col("~parts")))
+    return dealt.groupBy("item", "part").agg(F.array_sort(F.collect_set("tid")).alias("tids"))
 
 
 def class_labels(rows: DataFrame, classes: list[int]) -> DataFrame:
@@ -103,3 +106,21 @@ def swap_randomised(rows: DataFrame, rounds: int = 5, seed: int = 1) -> DataFram
 def equal_width(value: Column, low: float, high: float, bins: int) -> Column:
     """Histogram bin of a value; the last bin is closed."""
     return F.least(F.floor((value - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
+
+
+def thresholds(value: Column, bounds: list[float], first: int, mode: str = "P") -> Column:
+    """Items from `first` on, two a bound: P, the bounds that a value reaches; N, those it stays below; B, both; a null value has none."""
+    reached = [F.when(value >= b, F.lit(first + 2 * i)) for i, b in enumerate(bounds)] if mode in "PB" else []
+    below = [F.when(value < b, F.lit(first + 2 * i + 1)) for i, b in enumerate(bounds)] if mode in "NB" else []
+    return F.array_sort(F.array_compact(F.array(*reached, *below)))
+
+
+def class_and_rest(rows: DataFrame, label: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of a class, rows of all others."""
+    return rows.where(F.col("label") == label), rows.where(F.col("label") != label)
+
+
+def train_and_test(rows: DataFrame, k: int, fold: int, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """All other folds, the fold; with one fold both are the whole."""
+    each = folded(rows, k, seed)
+    return (each, each) if k == 1 else (each.where(F.col("fold") != fold), each.where(F.col("fold") == fold))

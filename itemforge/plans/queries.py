@@ -111,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unbinned": row(lambda r: profile.unbinned(profile.binned(r.drop("label"))).groupBy(F.array_join("items", " ").alias("items")).agg(F.count("*").alias("n"))),
     "dictionary": row(profile.dictionary),
     "translated": row(lambda r: text("items")(profile.translated(r, profile.dictionary(r)))),
-    "transposed": order(lambda r: profile.transposed(r).select("item", F.size("tids").cast("long").alias("n"), F.array_max("tids").alias("last"))),
+    "transposed": order(lambda r: profile.transposed(r).groupBy("item").agg(F.sum(F.size("tids")).alias("n"), F.max(F.array_max("tids")).alias("last"))),
     "class_labels": row(lambda r: text("items")(profile.class_labels(r, [1, 2, 3]))),
     "split_on_itemset": row(lambda r: profile.split_on(r, [2, 12])[1].select("tid")),
     "frequent_only": order(lambda r: text("items")(profile.frequent_only(r, minsup(r) * 10))),
@@ -126,7 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_k": order(lambda r: text("items")(mining.top_k(mined(r), 20))),
     "tiles": order(lambda r: text("items")(mining.tiles(mined(r), 100))),
     "rules": order(lambda r: text("antecedent")(mining.rules(mined(r), 0.5)).withColumn("confidence", F.round("confidence", 6))),
-    "itemset_support": order(lambda r: mining.support_of(r, r.sparkSession.createDataFrame([([1, 11],), ([2, 12, 21],)], "items array<int>")).select(F.array_join("items", " ").alias("items"), "support", F.array_max("tids").alias("last"))),
+    "itemset_support": order(lambda r: mining.support_of(r, r.sparkSession.createDataFrame([([1, 11],), ([2, 12, 21],)], "items array<int>")).select(F.array_join("items", " ").alias("items"), "support", "last")),
     "low_entropy": row(lambda r: text("attrs")(mining.low_entropy(r, [1, 2, 3, 11, 12, 21], 2, 1.5)).withColumn("entropy", F.round("entropy", 6))),
     "tiling": order(lambda r: r.sparkSession.createDataFrame([(k, s, a) for k, (s, a) in enumerate(mining.tiling(r, minsup(r) * 10, 2))], "k int, items array<int>, area long")),
     "cover_usage": row(lambda r: text("items")(codetable.usages(r, TABLE))),

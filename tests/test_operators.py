@@ -150,3 +150,29 @@ def test_generator_fills_columns():
 def test_folds_cover_all(spark, k):
     rows = rows_of(spark, [{i} for i in range(100)])
     assert profile.folded(rows, k).where(f"fold between 0 and {k - 1}").count() == 100
+
+
+def test_compressor_on_executors(spark):
+    from itemforge.operators.codetable import Compressor, RowsCompressor
+
+    rows = spark.createDataFrame([(i, [1, 2, 3] if i % 3 else [1, 2, 4 + i % 2]) for i in range(24)], "tid int, items array<int>")
+    near, far = Compressor.of(rows), Compressor.of(rows, most_bins=1)
+    assert isinstance(far, RowsCompressor)
+    found = [((1, 2), 24), ((1, 2, 3), 16)]
+    assert near.compress(found)[0] == far.compress(found)[0]
+    assert near.pairs([(1, 2)]) == far.pairs([(1, 2)])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_factored_keeps_models(seed):
+    theory = cnf.random_theory(8, 5, 40, seed)
+    found, saved = cnf.factored(theory, 3)
+    n = max(abs(x) for c in found for x in c)
+    assert cnf.count_models(found, n, range(1, 9)) == cnf.count_models(theory, 8)
+    assert sum(map(len, set(theory))) - sum(map(len, found)) == saved > 0
+
+
+def test_vertical_form_in_parts(spark):
+    rows = spark.createDataFrame([(i, [1]) for i in range(50)], "tid int, items array<int>")
+    parts = profile.transposed(rows, most=10).collect()
+    assert len(parts) > 1 and sorted(t for p in parts for t in p["tids"]) == list(range(50))

@@ -6,8 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from itemforge.plans.queries import ORACLES, QUERIES
+from itemforge.plans import extended, queries
 
+QUERIES, ORACLES = queries.QUERIES | extended.QUERIES, queries.ORACLES | extended.ORACLES
 SF = "/root/testdata/sf0.001"
 
 
