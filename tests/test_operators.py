@@ -176,3 +176,9 @@ def test_vertical_form_in_parts(spark):
     rows = spark.createDataFrame([(i, [1]) for i in range(50)], "tid int, items array<int>")
     parts = profile.transposed(rows, most=10).collect()
     assert len(parts) > 1 and sorted(t for p in parts for t in p["tids"]) == list(range(50))
+
+
+def test_support_with_repeated_ids(spark):
+    rows = spark.createDataFrame([(1, [1, 2]), (1, [3, 4]), (1, [1, 2]), (2, [1, 3])], "tid int, items array<int>")
+    wanted = spark.createDataFrame([([1, 2],), ([1, 4],), ([1],), ([],)], "items array<int>")
+    assert {tuple(r["items"]): r["support"] for r in mining.support_of(rows, wanted).collect()} == {(1, 2): 2, (1,): 3}
