@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import cnf, codetable, mining, profile
 from ..sources import files, tables
 from ..streaming import blocks
-from .queries import COVERED, JOINED, LABEL_BITS, MINED, ORDERS, ROWS, TABLE, THEORY_A, by_label, mined, minsup, order, row, text, theory
+from .queries import COVERED, JOINED, LABEL_BITS, MINED, ORDERS, ROWS, TABLE, THEORY_A, by_label, mined, mined_all, minsup, order, row, text, theory
 
 BOUNDS = [50000, 150000, 250000]
 
@@ -119,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "collection_orders": order(orders_of),
     "support_histogram": order(lambda r: mining.support_histogram(mined(r))),
     "size_histogram": order(lambda r: mining.size_histogram(mined(r))),
+    "support_histogram_all": order(lambda r: mining.support_histogram(mined_all(r))),
+    "size_histogram_all": order(lambda r: mining.size_histogram(mined_all(r))),
     "topk_minsup": order(lambda r: mining.topk_minsup(mined(r), 20)),
     "class_scores": row(lambda r: codetable.scores(codetable.confusion(by_label(r))).select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "accuracy")])),
     "majority_vote": row(lambda r: codetable.majority(r.select("tid", F.explode(F.transform("items", lambda x: x % 3)).alias("vote")))),

@@ -42,9 +42,15 @@ def text(*names: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def mined(rows: DataFrame) -> DataFrame:
+    """Sets of at most three items, as MINED."""
     return mining.apriori(rows, minsup(rows), 3)
 
 
+def mined_all(rows: DataFrame) -> DataFrame:
+    """Sets of any length, mined once; too many for the SQL's joins, tests hold them against brute force."""
+    return tables.kept(mining.frequent(rows, minsup(rows)))
+
+
 def usage_bits(rows: DataFrame) -> tuple[dict, dict]:
     usage = {tuple(r["items"]): r["usage"] for r in codetable.usages(rows, TABLE).collect()}  # one row a code
     return usage, codetable.lengths(usage)
@@ -126,6 +132,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "top_k": order(lambda r: text("items")(mining.top_k(mined(r), 20))),
     "tiles": order(lambda r: text("items")(mining.tiles(mined(r), 100))),
     "rules": order(lambda r: text("antecedent")(mining.rules(mined(r), 0.5)).withColumn("confidence", F.round("confidence", 6))),
+    "closed_all": order(lambda r: text("items")(mining.closed(mined_all(r)))),
+    "maximal_all": order(lambda r: text("items")(mining.maximal(mined_all(r)))),
+    "tiles_all": order(lambda r: text("items")(mining.tiles(mined_all(r), 100))),
+    "rules_all": order(lambda r: text("antecedent")(mining.rules(mined_all(r), 0.5)).withColumn("confidence", F.round("confidence", 6))),
     "itemset_support": order(lambda r: mining.support_of(r, r.sparkSession.createDataFrame([([1, 11],), ([2, 12, 21],)], "items array<int>")).select(F.array_join("items", " ").alias("items"), "support", "last")),
     "low_entropy": row(lambda r: text("attrs")(mining.low_entropy(r, [1, 2, 3, 11, 12, 21], 2, 1.5)).withColumn("entropy", F.round("entropy", 6))),
     "tiling": order(lambda r: r.sparkSession.createDataFrame([(k, s, a) for k, (s, a) in enumerate(mining.tiling(r, minsup(r) * 10, 2))], "k int, items array<int>, area long")),
