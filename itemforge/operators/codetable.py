@@ -6,6 +6,7 @@ is one higher-order expression a row, usages are counted with partial aggregatio
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Sequence
@@ -192,15 +193,16 @@ class Compressor:
                     out[s, t] += n
         return out
 
-    def grow_estimated(self, minsup: int = 1, rank: str = "gain", tries: int | None = None, rounds: int = 1000) -> tuple[list[Itemset], float]:
+    def grow_estimated(self, minsup: int = 1, rank: str = "gain", tries: int | None = None, rounds: int | None = None) -> tuple[list[Itemset], float]:
         """As grow, but unions are tried by their estimated worth, the first that helps is accepted.
 
         rank: usage (how often both codes meet), gain (bits that the rows would save), normalised (gain by item
         of the union).  tries: candidates evaluated in a round, all where None; with few tries the search ends early.
+        rounds: unions accepted at most; where None, until none helps.
         """
         table: list[Itemset] = []
         best = self.size(table)
-        for _ in range(rounds):
+        for _ in itertools.count() if rounds is None else range(rounds):
             usage = self.usage(table)
             total = sum(usage.values())
             worth = {}
@@ -220,11 +222,11 @@ class Compressor:
                 return table, best
         return table, best
 
-    def grow(self, minsup: int = 1, rounds: int = 1000) -> tuple[list[Itemset], float]:
-        """Candidates made on the fly: unions of two codes, the best accepted, until none helps."""
+    def grow(self, minsup: int = 1, rounds: int | None = None) -> tuple[list[Itemset], float]:
+        """Candidates made on the fly: unions of two codes, the best accepted, until none helps; rounds: as many at most."""
         table: list[Itemset] = []
         best = self.size(table)
-        for _ in range(rounds):
+        for _ in itertools.count() if rounds is None else range(rounds):
             codes = [s for s, u in self.usage(table).items() if u]
             unions = {tuple(sorted({*a, *b})) for i, a in enumerate(codes) for b in codes[:i]}
             tries = [(self.size(self.sorted([*table, u])), u) for u in unions if u not in table and self.support(u) >= minsup]

@@ -44,7 +44,7 @@ def dissimilarities(rows: DataFrame) -> DataFrame:
 
 def grown_by(rank: str) -> Callable[[DataFrame], DataFrame]:
     def grown(rows: DataFrame) -> DataFrame:
-        found, size = codetable.Compressor.of(rows).grow_estimated(minsup(rows), rank, rounds=10)
+        found, size = codetable.Compressor.of(rows).grow_estimated(minsup(rows), rank)
         return rows.sparkSession.createDataFrame([(k, list(s), float(size)) for k, s in enumerate(found)], "ord int, items array<int>, total_bits double")
 
     return grown

@@ -81,7 +81,7 @@ def compressed(rows: DataFrame) -> DataFrame:
 
 def grown(rows: DataFrame) -> DataFrame:
     part = codetable.Compressor.of(rows)
-    table, size = part.grow(minsup(rows), rounds=10)
+    table, size = part.grow(minsup(rows))
     return rows.sparkSession.createDataFrame([(k, list(s), float(size)) for k, s in enumerate(table)] or [(0, [0], float(size))], "ord int, items array<int>, total_bits double")
 
 

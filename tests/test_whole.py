@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import Counter
 
+from itemforge.operators.codetable import Compressor
 from itemforge.plans import extended, queries
 from itemforge.sources import tables
 
@@ -45,3 +46,17 @@ def test_mining_queries_of_any_length(spark, monkeypatch):
     assert run("rules_all") == sorted((spaced(a), y, n, round(n / want[a], 6)) for a, y, n in split if n / want[a] >= 0.5)
     assert run("support_histogram_all") == sorted(Counter(want.values()).items())
     assert run("size_histogram_all") == sorted((k, c, max(n for s, n in want.items() if len(s) == k)) for k, c in Counter(map(len, want)).items())
+
+
+def test_growing_ends_where_no_union_helps(spark, monkeypatch):
+    """Fifteen pairs of items that come together: more unions than ten help."""
+    sets = [{2 * k, 2 * k + 1} for k in range(15) for _ in range(20 + k)]
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "tid long, items array<int>")
+    monkeypatch.setattr(tables, "baskets_row", lambda spark, d: rows)
+    part = Compressor([(tuple(sorted(s)), 1) for s in sets])
+    for name in ("grown", "grown_by_usage", "grown_by_gain", "grown_by_normalised_gain"):
+        table = [tuple(r["items"]) for r in QUERIES[name](spark, "").collect()]
+        assert sorted(table) == [(2 * k, 2 * k + 1) for k in range(15)]
+        codes, size = [*part.usage(table)], part.size(table)
+        unions = {tuple(sorted({*a, *b})) for a, b in itertools.combinations(codes, 2)} - set(table)
+        assert all(part.size(part.sorted([*table, u])) >= size - 1e-9 for u in unions)
