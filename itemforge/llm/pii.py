@@ -1,6 +1,6 @@
 """Personal data: detected entities receive keyed surrogates.
 
-One pattern finds e-mail addresses, secrets, IBANs, IP addresses, phone, card and social security
+One pattern finds e-mail addresses, secrets, IBANs, IPv4 and IPv6 addresses, phone, card and social security
 numbers and titled names.  An entity's canonical form (case and separators dropped where they carry
 no identity) and a key give its surrogate, so one entity reads alike in all documents.  Surrogates
 keep the kind, script, case, length of numbers and separators, a card's Luhn validity, a phone's
@@ -21,22 +21,33 @@ from .common import let, materialise
 
 KEY = "surrogate-key-1"
 #: Kinds in order of precedence, and their patterns.
-MALE_TITLES = ("Mr", "Sir", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "Господин")
-FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Sra", "Madame", "Mme", "Госпожа")
-TITLE = "|".join(MALE_TITLES + FEMALE_TITLES)
+MALE_TITLES = ("Mr", "Mister", "Sir", "Lord", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "Signor", "Господин", "Господина", "Господину")
+FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Lady", "Frau", "Señora", "Señorita", "Sra", "Srta", "Doña", "Dra", "Profa", "Madame", "Mme", "Mademoiselle", "Mlle", "Signora", "Госпожа", "Госпожи", "Госпоже")
+NEUTRAL_TITLES = ("Dr", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "Professeur", "Profesor", "Profesora", "Doctora", "Mx", "Rev", "Доктор", "Профессор")
+TITLE = "|".join(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES)
+GAP = r"[ \u00A0]+"
+#: Words inside a name that start small, and words that end one though they start large.
+PARTICLES = "von|van|vom|zu|zum|zur|den|der|de|del|della|di|da|do|dos|das|du|des|la|le|el|al|bin|ibn|ben|ter|ten|af|av|y|e"
+ENDS = "The|This|That|These|Those|They|And|But|When|While|Where|What|If|His|Their|Our|Your|Is|Was|Are"
+#: Initials, or a word with inner capitals, hyphens and apostrophes.
+WORD = r"(?:(?:\p{Lu}\.[ -]?)+(?=[ \u00A0]*[\p{L}])|(?:[dlDL]['’])?\p{Lu}[\p{L}\p{M}]*(?:['’\u2010\u2011-][\p{L}\p{M}]+)*)"
+NAME = rf"(?:(?:{PARTICLES}){GAP})*{WORD}(?:(?:{GAP}|(?<=[. -]))(?!(?:{ENDS})(?![\p{{L}}'’-]))(?:(?:{PARTICLES}){GAP})*{WORD})*"
+V4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+H = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{32,}+|(?:sk|pk|ghp|gho|xox[abp])[_-][A-Za-z0-9_-]{16,}+|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])|(?<=(?i:token|secret|password|api[_-]?key) ?[=:] ?[\"']?)[A-Za-z0-9_+/=-]{12,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}_:.])(?=[0-9A-Fa-f]{{0,4}}:)(?=[A-Fa-f:]*[0-9]|(?:[A-Fa-f]*:){{4}})(?:(?:{H}:){{6}}(?:{H}:{H}|{V4})|(?:{H}(?::{H}){{0,6}})?::(?:(?:{H}:){{0,5}}{V4}|{H}(?::{H}){{0,6}})?)(?![\p{{L}}\p{{N}}_]|:[0-9A-Fa-f:]|\.[0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,3}(?![0-9])|(?<![0-9(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}})(?:(?:{TITLE})(?:\.[ \u00A0]*|{GAP}))+{NAME}(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Nothing in PATTERNS matches a text without one of these.
-HINT = rf"[0-9@]|(?:{TITLE})\.? \p{{Lu}}|(?i:token|secret|password|key) ?[=:]|(?:sk|pk|gh[po]|xox[abp])[_-]|[A-Fa-f]{{32}}|AKIA[A-Z]"
+HINT = rf"[0-9@]|(?:{TITLE})(?:\.|[ \u00A0])[ \u00A0]*\p{{L}}|(?:[A-Fa-f]{{0,4}}:){{4}}|(?i:token|secret|password|key) ?[=:]|(?:sk|pk|gh[po]|xox[abp])[_-]|[A-Fa-f]{{32}}|AKIA[A-Z]"
 #: Given names by gender, syllables of family names, by script.
 GIVEN = {
     "m": ("Adam", "Bruno", "Carl", "Daniel", "Emil", "Felix", "Hugo", "Jonas", "Lucas", "Martin", "Oscar", "Paul", "Robert", "Simon", "Thomas", "Victor"),
@@ -66,12 +77,25 @@ def kind(e: Column) -> Column:
     return F.when(titled, F.lit("name")).when(e.rlike("^[0-9A-Fa-f]{32,}$"), F.lit("secret")).otherwise(F.when(out == "name", F.lit("secret")).otherwise(out))
 
 
+def groups(e: Column) -> Column:
+    """An IPv6 address as eight groups, in small letters and without leading zeros."""
+    four = F.split(F.regexp_extract(e, rf":({V4})$", 1), r"\.")
+    pair = lambda i: F.lower(F.hex(F.get(four, F.lit(i)).cast("int") * 256 + F.get(four, F.lit(i + 1)).cast("int")))
+    whole = F.lower(F.when(F.contains(e, F.lit(".")), F.concat(F.regexp_replace(e, rf"{V4}$", ""), pair(0), F.lit(":"), pair(2))).otherwise(e))
+    parts = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    short = F.transform(F.split(whole, "::"), parts)
+    first, last = F.get(short, F.lit(0)), F.coalesce(F.get(short, F.lit(1)), F.array().cast("array<string>"))
+    filled = F.concat(first, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(first) - F.size(last), F.lit(0))), last)
+    return F.array_join(F.transform(filled, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+
+
 def canonical(k: Column, e: Column) -> Column:
     digits = F.regexp_replace(e, "[^0-9]", "")
     return (
         F.when(k.isin(*DIGITS), digits)
         .when(k == "iban", F.upper(F.regexp_replace(e, " ", "")))
         .when(k.isin("email", "ip"), F.lower(e))
+        .when(k == "ip6", groups(e))
         .when((k == "secret") & e.rlike("^[0-9A-Fa-f]+$"), F.lower(e))
         .otherwise(e)
     )
@@ -162,11 +186,14 @@ def surrogate(k: Column, canon: Column, country: Column, attempt: Column, key: s
 
     def build(s: Column) -> Column:
         octets = F.concat_ws(".", *[(value(s, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
+        # of the block for documentation
+        eight = F.concat_ws(":", F.lit("2001"), F.lit("db8"), *[F.lower(F.hex(value(s, F.lit(2 * i)) * 256 + value(s, F.lit(2 * i + 1)))) for i in range(6)])
         hexadecimal = (k == "secret") & canon.rlike("^[0-9a-f]+$")
         keep = F.when(k == "phone", country).when(k == "iban", F.lit(2)).otherwise(F.lit(0))
         return (
             F.when(k == "email", email(canon, s))
             .when(k == "ip", octets)
+            .when(k == "ip6", eight)
             .when(k == "card", card(canon, s))
             .when(k == "name", person(canon, s))
             .otherwise(shaped(canon, s, hexadecimal, keep))
