@@ -1,7 +1,8 @@
 """Personal data: detected entities receive keyed surrogates.
 
 One pattern finds e-mail addresses, secrets, IBANs, IPv4 and IPv6 addresses, phone, card and social security
-numbers and titled names.  An entity's canonical form (case and separators dropped where they carry
+numbers and titled names; a second one, made for a text, its named people without their titles.  A name's
+entities are its family name and its given one with the gender, whatever the title.  An entity's canonical form (case and separators dropped where they carry
 no identity) and a key give its surrogate, so one entity reads alike in all documents.  Surrogates
 keep the kind, script, case, length of numbers and separators, a card's Luhn validity, a phone's
 country code, an IBAN's country, and a name's gender.  All distinct entities of the corpus are
@@ -14,6 +15,8 @@ other columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +62,10 @@ SYLLABLES = {
     "l": ("ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu", "ra", "se", "ti", "vo", "wa", "zel"),
     "c": ("ба", "де", "фи", "го", "ху", "ка", "ле", "ми", "но", "пу", "ра", "се", "ти", "во", "ва", "зел"),
 }
+#: Country codes of phones by their digits: of one and two digits; all others have three.
+CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+#: Words after a family name.
+SUFFIX = r"[ \u00A0]+(?:Jr|Sr|Junior|Senior|II|III|IV|PhD|MD|Esq)\.?$"
 DIGITS = ("phone", "ssn", "card")
 CYRILLIC = r"\p{IsCyrillic}"
 
@@ -170,15 +177,20 @@ def email(canon: Column, s: Column) -> Column:
     return F.concat(pad, shaped(local, s, F.lit(False), F.lit(0)), F.lit("@mail.example.org"))
 
 
-def person(canon: Column, s: Column) -> Column:
-    """Title kept; given name (if any) by gender and script, family name from syllables."""
-    title, cyr = F.regexp_extract(canon, rf"^((?:{TITLE})\.?) ", 1), canon.rlike(CYRILLIC)
-    female = F.regexp_replace(title, r"\.", "").isin(*FEMALE_TITLES)
+def syllables(canon: Column, s: Column, start: int, attempt: Column) -> Column:
+    """Of up to ten letters; longer in later draws, so names never run out."""
     pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), value(s, F.lit(i)) % len(xs) + 1)
-    given = F.when(cyr & female, pick(GIVEN["cf"], 0)).when(cyr, pick(GIVEN["cm"], 0)).when(female, pick(GIVEN["f"], 0)).otherwise(pick(GIVEN["m"], 0))
-    family = F.when(cyr, F.concat(*[pick(SYLLABLES["c"], i) for i in range(1, 9)])).otherwise(F.concat(*[pick(SYLLABLES["l"], i) for i in range(1, 9)]))
-    family = F.initcap(F.substr(family, F.lit(1), F.lit(10)))
-    return F.when(F.size(F.split(canon, " ")) > 2, F.concat_ws(" ", title, given, family)).otherwise(F.concat_ws(" ", title, family))
+    of = lambda xs: F.concat(*[pick(xs, i) for i in range(start, start + 8)])
+    return F.substr(F.when(canon.rlike(CYRILLIC), of(SYLLABLES["c"])).otherwise(of(SYLLABLES["l"])), F.lit(1), F.when(attempt == 0, 10).otherwise(17))
+
+
+def given_name(canon: Column, s: Column, attempt: Column) -> Column:
+    """By gender (the first letter of the canonical form) and script; later draws have a second part, so they never run out."""
+    pick = lambda *names: F.element_at(F.array(*[F.lit(x.lower()) for n in names for x in GIVEN[n]]), value(s, F.lit(0)) % (16 * len(names)) + 1)
+    cyr, gender = canon.rlike(CYRILLIC), F.substr(canon, F.lit(1), F.lit(1))
+    latin = F.when(gender == "f", pick("f")).when(gender == "m", pick("m")).otherwise(pick("f", "m"))
+    name = F.when(~cyr, latin).when(gender == "f", pick("cf")).when(gender == "m", pick("cm")).otherwise(pick("cf", "cm"))
+    return F.when(attempt == 0, name).otherwise(F.concat(name, F.lit("-"), syllables(canon, s, 1, attempt)))
 
 
 def surrogate(k: Column, canon: Column, country: Column, attempt: Column, key: str) -> Column:
@@ -195,15 +207,85 @@ def surrogate(k: Column, canon: Column, country: Column, attempt: Column, key: s
             .when(k == "ip", octets)
             .when(k == "ip6", eight)
             .when(k == "card", card(canon, s))
-            .when(k == "name", person(canon, s))
+            .when(k == "family", syllables(canon, s, 1, attempt))
+            .when(k == "given", given_name(canon, s, attempt))
             .otherwise(shaped(canon, s, hexadecimal, keep))
         )
 
     return let(stream(k, canon, attempt, key), build)
 
 
-def render(e: Column, k: Column, sc: Column) -> Column:
-    """The surrogate in the mention's own case and separators."""
+def titles(e: Column) -> Column:
+    return F.regexp_extract(e, rf"^(?:(?:{TITLE})(?:\.[ \u00A0]*|{GAP}))+", 0)
+
+
+def body(e: Column) -> Column:
+    """A name without its titles, with single spaces."""
+    return F.regexp_replace(F.substr(e, F.length(titles(e)) + 1, F.length(e)), GAP, " ")
+
+
+def family(name: Column) -> Column:
+    """The last word of a body that isn't a suffix, without a small prefix of its own."""
+    return F.regexp_extract(F.regexp_replace(name, SUFFIX, ""), r"([^ ]+)$", 1)
+
+
+def given(name: Column) -> Column:
+    """The words before the family name, particles left out; initials stand apart."""
+    words = F.filter(F.split(F.regexp_replace(F.regexp_replace(name, SUFFIX, ""), r"[^ ]+$", ""), " "), lambda w: (w != "") & ~w.rlike(f"^(?:{PARTICLES})$"))
+    return F.array_join(words, " ")
+
+
+def gender(e: Column) -> Column:
+    said = F.split(F.regexp_replace(titles(e), r"[. \u00A0]+", " "), " ")
+    has = lambda names: F.arrays_overlap(said, F.array(*map(F.lit, names)))
+    return F.when(has(FEMALE_TITLES), F.lit("f")).when(has(MALE_TITLES), F.lit("m")).otherwise(F.lit("n"))
+
+
+def people(es: Column) -> Column:
+    """The titled names among a text's mentions: body and gender."""
+    titled = F.filter(es, lambda e: e.rlike(f"^(?:{PATTERNS['name']})$"))
+    return F.array_distinct(F.transform(titled, lambda e: F.struct(body(e).alias("body"), gender(e).alias("gender"))))
+
+
+def untitled(known: Column) -> Column:
+    """The pattern of a text's known names without titles: whole ones, and family names; longest first."""
+    whole = F.transform(known, lambda p: p["body"])
+    forms = F.array_distinct(F.concat(whole, F.transform(whole, family)))
+    forms = F.transform(F.filter(forms, lambda x: F.length(x) > 1), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))
+    either = F.array_join(F.transform(F.array_sort(forms), lambda f: F.regexp_replace(F.regexp_replace(f["x"], r"([.\-])", r"\\$1"), " ", r"[ \\u00A0]+")), "|")
+    return F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), either, F.lit(r")(?![\p{L}\p{N}])"))
+
+
+def scan(text: Column, then: Callable[[Column, Column, Column], Column]) -> Column:
+    """`then` of all mentions in order, the text's known people, and the pattern that splits the text.
+
+    A name that a title gives away is a mention wherever the same text has it without one.
+    """
+
+    def found(es: Column) -> Column:
+        def wider(known: Column) -> Column:
+            more = F.when(F.size(known) > 0, untitled(known))
+            all_of = F.when(more.isNull(), es).otherwise(F.regexp_extract_all(text, F.coalesce(more, F.lit("^$")), F.lit(0)))
+            return let(F.struct(all_of.alias("es"), F.coalesce(more, F.lit(ANY)).alias("pattern")), lambda x: then(x["es"], known, x["pattern"]))
+
+        return let(people(es), wider)
+
+    return let(mentions(text), found)
+
+
+def named(e: Column, known: Column) -> Column:
+    """The given (if any) and the family name of a mention; gender by its title, else by the same name's elsewhere in the text."""
+    name = body(e)
+    same = F.filter(known, lambda p: (F.lower(p["body"]) == F.lower(name)) & (p["gender"] != "n"))
+    g = F.when(gender(e) != "n", gender(e)).otherwise(F.coalesce(F.get(same, F.lit(0))["gender"], F.lit("n")))
+    first = F.struct(F.lit("given").alias("kind"), F.concat(g, F.lit(" "), F.lower(given(name))).alias("canon"), F.lit(0).alias("country"))
+    last = F.struct(F.lit("family").alias("kind"), F.lower(family(name)).alias("canon"), F.lit(0).alias("country"))
+    return F.when(given(name) == "", F.array(last)).otherwise(F.array(first, last))
+
+
+def render(e: Column, k: Column, scs: Column) -> Column:
+    """The surrogate in the mention's own titles, case and separators.  scs: one, or a given and a family name."""
+    sc = F.get(scs, F.lit(0))
 
     def overlay(keep: str) -> Column:
         def one(i: Column) -> Column:
@@ -214,21 +296,33 @@ def render(e: Column, k: Column, sc: Column) -> Column:
         return F.array_join(F.transform(F.sequence(F.lit(0), F.length(e) - 1), one), "")
 
     upper = (F.upper(e) == e) & (F.lower(e) != e)
+    words = F.array_join(F.transform(scs, lambda x: F.initcap(x)), " ")
+    loud = (F.upper(body(e)) == body(e)) & (F.length(family(body(e))) > 1)
     return (
         F.when(k.isin(*DIGITS), overlay("[^0-9]"))
         .when(k == "iban", overlay(" "))
         .when(k.isin("email", "secret") & upper, F.upper(sc))
+        .when(k.isin("given", "family"), F.concat(titles(e), F.when(loud, F.upper(words)).otherwise(words)))
         .otherwise(sc)
     )
 
 
 def country(e: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_extract(e, r"^\+([0-9]{1,3})[ .(-]", 1), "[^0-9]", ""))
+    """The length of an international number's country code, by its digits alone."""
+    digits = F.regexp_replace(e, "[^0-9]", "")
+    return F.when(F.startswith(e, F.lit("+")), F.length(F.regexp_extract(digits, f"^(?:{CODES})", 0))).otherwise(0)
 
 
-def entity(e: Column) -> Column:
-    """Kind, canonical form and kept country digits of a mention."""
-    return let(kind(e), lambda k: F.struct(k.alias("kind"), canonical(k, e).alias("canon"), F.when(k == "phone", country(e)).otherwise(0).alias("country")))
+def entities(e: Column, known: Column) -> Column:
+    """Kind, canonical form and kept country digits of a mention; of a name, of its given and its family name."""
+
+    def by_kind(k: Column) -> Column:
+        plain = F.struct(k.alias("kind"), canonical(k, e).alias("canon"), F.when(k == "phone", country(e)).otherwise(0).alias("country"))
+        return F.when(k == "name", named(e, known)).otherwise(F.array(plain))
+
+    forms = lambda p: (p["body"] == body(e)) | (family(p["body"]) == body(e))
+    titled = e.rlike(f"^(?:{PATTERNS['name']})$")
+    return let(F.when(titled | F.exists(known, forms), F.lit("name")).otherwise(kind(e)), by_kind)
 
 
 def redraw(known: DataFrame, key: str) -> DataFrame:
@@ -238,7 +332,8 @@ def redraw(known: DataFrame, key: str) -> DataFrame:
     and none is a real entity.
     """
     pool = materialise(known.withColumn("attempt", F.lit(0)), "pii-entities")
-    real, fixed, moved = known.select(F.col("kind"), F.col("canon").alias("sc")).distinct(), None, None
+    bare = F.when(F.col("kind") == "given", F.expr("substring(canon, 3)")).otherwise(F.col("canon"))
+    real, fixed = known.select("kind", bare.alias("sc")).distinct(), None
     while True:
         drawn = pool.withColumn("sc", surrogate(F.col("kind"), F.col("canon"), F.col("country"), F.col("attempt"), key))
         taken = real if fixed is None else real.unionByName(fixed.select("kind", "sc"))
@@ -255,25 +350,22 @@ def redraw(known: DataFrame, key: str) -> DataFrame:
 def replaced(text: Column, key: str, overrides: Column) -> Column:
     """The text with every mention rendered anew; split and matches interleave."""
 
-    def one(e: Column) -> Column:
-        def put(x: Column) -> Column:
-            own = F.get(F.filter(overrides, lambda o: (o["kind"] == x["kind"]) & (o["canon"] == x["canon"]) & (o["country"] == x["country"])), F.lit(0))["sc"] if overrides is not None else None
-            base = surrogate(x["kind"], x["canon"], x["country"], F.lit(0), key)
-            return render(e, x["kind"], base if own is None else F.coalesce(own, base))
-
-        return let(entity(e), put)
+    def drawn(x: Column) -> Column:
+        own = F.get(F.filter(overrides, lambda o: (o["kind"] == x["kind"]) & (o["canon"] == x["canon"]) & (o["country"] == x["country"])), F.lit(0))["sc"] if overrides is not None else None
+        base = surrogate(x["kind"], x["canon"], x["country"], F.lit(0), key)
+        return base if own is None else F.coalesce(own, base)
 
-    def join(es: Column) -> Column:
-        parts = F.zip_with(F.split(text, ANY, -1), es, lambda s, e: F.concat(s, F.when(e.isNull(), F.lit("")).otherwise(one(e))))
+    def join(es: Column, known: Column, pattern: Column) -> Column:
+        one = lambda e: let(entities(e, known), lambda xs: render(e, F.get(xs, F.lit(0))["kind"], F.transform(xs, drawn)))
+        parts = F.zip_with(F.split(text, pattern, -1), es, lambda s, e: F.concat(s, F.when(e.isNull(), F.lit("")).otherwise(one(e))))
         return F.when(F.size(es) == 0, text).otherwise(F.array_join(parts, ""))
 
-    return let(mentions(text), join)
+    return scan(text, join)
 
 
 def pseudonymise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
     """`docs` with every entity of `text` replaced; columns and rows unchanged otherwise."""
-    found = docs.select(F.col(doc_id).alias("id"), F.explode(mentions(F.col(text))).alias("e"))
-    found = found.select("id", F.explode(F.array(entity(F.col("e")))).alias("x")).select("id", "x.kind", "x.canon", "x.country")
+    found = docs.select(F.col(doc_id).alias("id"), F.explode(scan(F.col(text), lambda es, known, _: F.flatten(F.transform(es, lambda e: entities(e, known))))).alias("x")).select("id", "x.kind", "x.canon", "x.country")
     found = materialise(found.distinct(), "pii-mentions")
     moved = materialise(redraw(found.select("kind", "canon", "country").distinct(), key), "pii-moved")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("~row")

@@ -38,3 +38,24 @@ def test_addresses_of_version_six(spark):
     assert out[len(V6) : -1] == KEEP[:-1] and out[-1].endswith(" The") and "Smith" not in out[-1]
     same = replaced(spark, ["2001:db8::1", "2001:0DB8:0:0:0:0:0:1", "2001:db8::2"])
     assert same[0] == same[1] != same[2]
+
+
+def test_names_and_phones_are_coreferent(spark):
+    out = replaced(spark, [
+        "Mr Smith, Mr. Smith, Mr John Smith, John Smith and Smith", "Mr. John Smith met Mrs Smith", "Dr. Smith and Mr Jones",
+        "+1 555 123 4567 or +15551234567 or +44 20 7946 0958", "call +442079460958, +1-555-123-4567 or +49 30 123456", "Blacksmith Smithers, not Mr. Smith",
+    ])
+    assert not re.search(r"\b(John|Smith|Jones)\b|123.?4567|7946", "".join(out))
+    family = re.match(r"Mr (\w+), Mr\. \1, Mr (\w+) \1, \2 \1 and \1$", out[0])
+    assert family and out[1] == f"Mr. {family[2]} {family[1]} met Mrs {family[1]}"
+    assert out[2].startswith(f"Dr. {family[1]} and Mr ") and not out[2].endswith(family[1]) and out[5] == f"Blacksmith Smithers, not Mr. {family[1]}"
+    digits = lambda t: ["".join(re.findall(r"\d", p)) for p in re.findall(r"\+[\d -]*\d", t)]
+    a, b = digits(out[3]), digits(out[4])
+    assert a[0] == a[1] == b[1] != a[2] == b[0] and a[0].startswith("1") and b[0].startswith("44") and b[2].startswith("49")
+
+
+def test_given_names_never_run_out(spark):
+    """More given names than surrogates of a first draw: later draws tell them apart."""
+    names = [f"N{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    out = replaced(spark, [f"Mr {n} Smith" for n in names])
+    assert len(set(out)) == len({t.split(" ")[1] for t in out}) == 60 and len({t.split(" ")[2] for t in out}) == 1
