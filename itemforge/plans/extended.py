@@ -26,6 +26,16 @@ def orders_of(rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def places_of(rows: DataFrame) -> DataFrame:
+    """Every set of any length, with its place by each order."""
+    sets, out = mined_all(rows).withColumn("length", F.size("items")).withColumn("area", F.size("items") * F.col("support")), []
+    for name, spec in mining.ORDERS.items():
+        by = [f(c) for f, c in zip(spec[::2], spec[1::2], strict=True)]
+        placed = blocks.blocks(sets, by, 1)
+        out.append(placed.select(F.lit(name).alias("name"), (F.col("block") + 1).cast("int").alias("place"), F.array_join("items", " ").alias("items")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def unions(rows: DataFrame) -> DataFrame:
     table = rows.sparkSession.createDataFrame([(k, list(s)) for k, s in enumerate(TABLE)], "ord int, items array<int>")
     return mining.support_of(rows, mining.pair_unions(table, 4)).select(F.array_join("items", " ").alias("items"), "support")
@@ -117,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "grown_by_normalised_gain": row(grown_by("normalised")),
     "candidate_unions": row(unions),
     "collection_orders": order(orders_of),
+    "collection_orders_all": order(places_of),
     "support_histogram": order(lambda r: mining.support_histogram(mined(r))),
     "size_histogram": order(lambda r: mining.size_histogram(mined(r))),
     "support_histogram_all": order(lambda r: mining.support_histogram(mined_all(r))),

@@ -138,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rules_all": order(lambda r: text("antecedent")(mining.rules(mined_all(r), 0.5)).withColumn("confidence", F.round("confidence", 6))),
     "itemset_support": order(lambda r: mining.support_of(r, r.sparkSession.createDataFrame([([1, 11],), ([2, 12, 21],)], "items array<int>")).select(F.array_join("items", " ").alias("items"), "support", "last")),
     "low_entropy": row(lambda r: text("attrs")(mining.low_entropy(r, [1, 2, 3, 11, 12, 21], 2, 1.5)).withColumn("entropy", F.round("entropy", 6))),
+    "low_entropy_all": row(lambda r: text("attrs")(mining.low_entropy_all(r, 1.5)).withColumn("entropy", F.round("entropy", 6))),
     "tiling": order(lambda r: r.sparkSession.createDataFrame([(k, s, a) for k, (s, a) in enumerate(mining.tiling(r, minsup(r) * 10, 2))], "k int, items array<int>, area long")),
     "cover_usage": row(lambda r: text("items")(codetable.usages(r, TABLE))),
     "cover_overlap": order(lambda r: r.select("tid", F.size(codetable.cover(F.col("items"), TABLE, overlap=True)).alias("n"))),

@@ -1,6 +1,7 @@
 """Queries without SQL do the whole job: against brute force on small fixtures."""
 
 import itertools
+import math
 import random
 from collections import Counter
 
@@ -60,3 +61,33 @@ def test_growing_ends_where_no_union_helps(spark, monkeypatch):
         codes, size = [*part.usage(table)], part.size(table)
         unions = {tuple(sorted({*a, *b})) for a, b in itertools.combinations(codes, 2)} - set(table)
         assert all(part.size(part.sorted([*table, u])) >= size - 1e-9 for u in unions)
+
+
+def test_every_set_has_a_place_in_each_order(spark, monkeypatch):
+    sets = long_sets()
+    want = brute(sets, 3)
+    baskets(spark, monkeypatch, sets)
+    keys = {
+        "support": lambda s: (-want[s], -len(s), s), "area": lambda s: (-len(s) * want[s], -len(s), s), "length": lambda s: (-len(s), -want[s], s),
+        "shortest": lambda s: (len(s), -want[s], s), "lexicographic": lambda s: s,
+    }
+    placed = {n: sorted(want, key=k) for n, k in keys.items()} | {"reverse": sorted(want, reverse=True)}
+    found = sorted(map(tuple, QUERIES["collection_orders_all"](spark, "").collect()))
+    assert found == sorted((n, k, spaced(s)) for n, ss in placed.items() for k, s in enumerate(ss, 1))
+
+
+def test_low_entropy_sets_of_all_items_and_lengths(spark, monkeypatch):
+    rng = random.Random(6)
+    sets = [frozenset({rng.choice((1, 2, 3)), 10 + int(rng.random() < 0.1), 20 + rng.choice((0, 1, 2, 3, 4, 5, 6))}) for _ in range(200)]
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "tid long, items array<int>")
+    monkeypatch.setattr(tables, "baskets_row", lambda spark, d: rows)
+    items, want = sorted(set().union(*sets)), {}
+    for k in range(1, len(items) + 1):
+        for c in itertools.combinations(items, k):
+            counts = Counter(tuple(x in s for x in c) for s in sets).values()
+            entropy = -sum(n / len(sets) * math.log2(n / len(sets)) for n in counts)
+            if entropy <= 1.5:
+                want[spaced(c)] = entropy
+    assert max(map(len, map(str.split, want))) > 2
+    found = {r["attrs"]: r["entropy"] for r in QUERIES["low_entropy_all"](spark, "").collect()}
+    assert found.keys() == want.keys() and all(math.isclose(found[s], want[s], abs_tol=1e-6) for s in want)
