@@ -386,15 +386,19 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component, columns unchanged; of rows that share an id, one."""
+    """The rows of `docs` whose id is the smallest of its component, columns unchanged.
+
+    Rows that share an id are judged one by one: of near duplicates one stays, rows of different texts all do.
+    """
+    number = F.col(doc_id).cast("long")
+    repeated = docs.select(number.alias("~id")).where("`~id` is not null").groupBy("~id").count().where("count > 1")
+    if repeated.limit(1).count():
+        # numbers that follow the ids, so the smallest stays
+        own = docs.where(number.isNotNull()).repartitionByRange(number).sortWithinPartitions(number)
+        own = materialise(own.withColumn("~row", F.monotonically_increasing_id()), "ngram-rows")
+        return docs.where(number.isNull()).unionByName(first_of_each(own, "~row", text, **options).drop("~row"))
     judged = materialise(join(docs, doc_id, text, **options).where(F.col("doc_id").isNotNull()), "ngram-judged")
     gone = judged.where("doc_id <> component_id").select(F.col("doc_id").alias("~id")).distinct()
-    maybe = IdFilter(gone, "~id").column(F.col(doc_id))
+    maybe = IdFilter(gone, "~id").column(number)
     # only rows that the filter can't clear meet the exact join
-    kept = docs.where(~maybe).unionByName(docs.where(maybe).join(gone, F.col(doc_id) == F.col("`~id`"), "left_anti"))
-    repeated = judged.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("~id"))
-    if not repeated.limit(1).count():
-        return kept
-    rest = kept.join(repeated, F.col(doc_id) == F.col("`~id`"), "left_anti")
-    once = kept.join(repeated, F.col(doc_id) == F.col("`~id`"), "left_semi").dropDuplicates([doc_id])
-    return rest.unionByName(once)
+    return docs.where(~maybe).unionByName(docs.where(maybe).join(gone, number == F.col("`~id`"), "left_anti"))
