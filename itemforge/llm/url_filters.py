@@ -66,16 +66,31 @@ def ruled(df: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     return out.withColumn("~best", best).select(*[F.col(f"`{c}`") for c in df.columns], F.col("`~best`.rule").alias("rule"), F.col("`~best`.verdict").alias("decided"))
 
 
+def undotted(rest: Column) -> Column:
+    """A path (and query) without the segments '.' and '..'."""
+    path, query = F.regexp_extract(rest, r"(?s)^([^?#]*)", 1), F.regexp_extract(rest, r"(?s)^[^?#]*(.*)$", 1)
+    ended = F.regexp_replace(path, r"/\.\.?$", "$0/")  # a last dot segment names a folder
+    segments = F.split(F.regexp_replace(ended, "^/", ""), "/")
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), query)).otherwise(rest)
+
+
 def resolve(href: Column, base: Column) -> Column:
     """The address that a link of the page at `base` means."""
     h = F.trim(F.regexp_replace(href, "&amp;", "&"))
-    folder = F.concat(F.lit("http://"), host(base), F.regexp_extract(F.concat(path(base), F.when(path(base) == "", "/").otherwise("")), r"(?s)^(.*/)", 1))
+    own = F.when(path(base) == "", "/").otherwise(path(base))
+    folder = F.regexp_extract(own, r"(?s)^(.*/)", 1)
+    at = lambda rest: F.concat(F.lit("http://"), host(base), rest)
+    far = F.regexp_extract(h, r"(?s)^(//[^/?#]*)", 1)
     return address(
         F.when(h.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), h)
-        .when(F.startswith(h, F.lit("//")), F.concat(F.lit("http:"), h))
-        .when(F.startswith(h, F.lit("/")), F.concat(F.lit("http://"), host(base), h))
+        .when(F.startswith(h, F.lit("//")), F.concat(F.lit("http:"), far, undotted(F.substr(h, F.length(far) + 1, F.length(h)))))
+        .when(F.startswith(h, F.lit("/")), at(undotted(h)))
         .when((h == "") | F.startswith(h, F.lit("#")), base)
-        .otherwise(F.concat(folder, h))
+        .when(F.startswith(h, F.lit("?")), at(F.concat(own, h)))
+        .otherwise(at(undotted(F.concat(folder, h))))
     )
 
 
