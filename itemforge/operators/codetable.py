@@ -141,6 +141,8 @@ class Compressor:
         pruning: nop, pop (after each accept), sanitize (unused sets only).  passes: once; repeat until
         nothing is accepted; restart after each accept; best (the best of all candidates each time).
         """
+        if pruning not in ("nop", "pop", "sanitize") or passes not in ("once", "repeat", "restart", "best"):
+            raise ValueError(f"unknown pruning or passes: {pruning}, {passes}")
         todo = [tuple(s) for s, _ in sorted(candidates, key=lambda x: (-x[1], -len(x[0]), tuple(x[0]))) if len(s) > 1]
         self.supports.update({tuple(s): n for s, n in candidates})
         table: list[Itemset] = []

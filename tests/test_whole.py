@@ -5,6 +5,8 @@ import math
 import random
 from collections import Counter
 
+import pytest
+
 from itemforge.operators.codetable import Compressor
 from itemforge.plans import extended, queries
 from itemforge.sources import tables
@@ -91,3 +93,9 @@ def test_low_entropy_sets_of_all_items_and_lengths(spark, monkeypatch):
     assert max(map(len, map(str.split, want))) > 2
     found = {r["attrs"]: r["entropy"] for r in QUERIES["low_entropy_all"](spark, "").collect()}
     assert found.keys() == want.keys() and all(math.isclose(found[s], want[s], abs_tol=1e-6) for s in want)
+
+
+@pytest.mark.parametrize("options", [{"pruning": "pep"}, {"passes": "twice"}])
+def test_unknown_options_raise(options):
+    with pytest.raises(ValueError):
+        Compressor([((1, 2), 3)]).compress([((1, 2), 3)], **options)
