@@ -1,13 +1,15 @@
 """Quality rules as weak supervision.
 
-Seven rules look at counts of a document's whole text and vote good (1), bad (-1) or abstain (0).
-Expectation-maximisation over the counts of vote patterns (at most 3**7 rows, whatever the corpus)
-estimates how often each rule is right on good and on bad documents; a document's posterior probability of being good replaces
-the usual all-must-pass filter.  Everything per document is built-in column functions.
+Eight rules look at counts of a document's whole text and vote good (1), bad (-1) or abstain (0).
+Expectation-maximisation over the counts of vote patterns (at most 3**8 rows, whatever the corpus)
+estimates how often each rule is right on good and on bad documents, and how many are good; a document's
+posterior probability of being good replaces the usual all-must-pass filter, so a bad vote of a rule
+that goes against the others doesn't drop it.  Everything per document is built-in column functions.
 
 Defined results: null and empty texts have no words, fail the base rule and are not kept; a null
-id stays null; repeated rows are judged alike, one output row each; an empty table gives no rows
-(the model then keeps its starting values); other columns are never read.
+id stays null; repeated rows are judged alike, one output row each; documents of one vote pattern share
+their verdict, a posterior of 0.5 keeps; an empty table gives no rows (the model then keeps its starting
+values); other columns are never read.
 """
 
 from __future__ import annotations
@@ -20,12 +22,22 @@ from pyspark.sql import functions as F
 
 from .common import let, materialise, words
 
-RULES = ("symbols", "repeats", "duplicate_lines", "word_length", "capitals", "sentence_ends", "exclamations")
-ROUNDS = 25
-#: A rule's accuracy on good documents and on bad ones: start, pseudo-votes of the start, bounds.
-#: Good documents trip a rule in one of 100 cases at most; a bad one trips few of them.  Bounds keep a bad vote evidence for bad.
-ON_GOOD, ON_BAD = (0.995, 20.0, 0.99, 0.999), (0.3, 20.0, 0.21, 0.999)
-PRIOR = (0.05, 0.9)
+#: A rule's bad and good votes, over the columns that `flat` names; it abstains between them.
+RULES = {
+    "symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    "repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 15 * n_words"),
+    "duplicate_lines": ("100 * n_dup_lines > 50 * n_lines", "n_dup_lines = 0 and n_lines > 2"),
+    "word_length": ("word_chars < 3 * n_words or word_chars > 12 * n_words", "2 * word_chars >= 7 * n_words and word_chars <= 9 * n_words"),
+    "capitals": ("100 * n_upper > 30 * word_chars", "100 * n_upper <= 15 * word_chars"),
+    "sentence_ends": ("100 * n_ends < n_words", "40 * n_ends >= n_words"),
+    "punctuation": ("100 * n_punct > 8 * word_chars", "100 * n_punct <= 6 * word_chars"),
+    "open_lines": ("10 * (n_lines - n_closed) > n_lines", "20 * (n_lines - n_closed) <= n_lines"),
+}
+#: The end of a line that ends a sentence.
+CLOSED = r"[.?!…][\"'”’»)\]]*[ \t\x0B-\r]*"
+ROUNDS = 200
+#: What all rules' accuracies and the share of good documents start from, and its weight in votes.
+START, PSEUDO = 0.8, 2.0
 
 
 @dataclass(frozen=True)
@@ -112,12 +124,13 @@ def features(text: Column) -> Column:
         without(r"[#*$%&|<>]+").alias("n_symbols"),
         without(r"\p{Lu}+").alias("n_upper"),
         without(r"[.?!](?=[ \t-\r]|$)").alias("n_ends"),
-        without(r"!+").alias("n_bangs"),
+        without(r"[\p{P}\p{S}]+").alias("n_punct"),
+        F.regexp_count(t, F.lit(CLOSED + r"(?:\n|\z)")).cast("long").alias("n_closed"),
     )
 
 
 def flat(q: Column) -> list[Column]:
-    names = ("w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper", "n_ends", "n_bangs")
+    names = ("w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper", "n_ends", "n_punct", "n_closed")
     out = []
     for name in names:
         c = q
@@ -133,16 +146,7 @@ def base_failed() -> Column:
 
 def votes() -> list[Column]:
     """One column a rule, in the order of RULES, over the columns that `flat` names."""
-    rule = lambda bad, good: F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end")
-    return [
-        rule("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-        rule("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 15 * n_words"),
-        rule("100 * n_dup_lines > 50 * n_lines", "n_dup_lines = 0 and n_lines > 2"),
-        rule("word_chars < 3 * n_words or word_chars > 12 * n_words", "2 * word_chars >= 7 * n_words and word_chars <= 9 * n_words"),
-        rule("100 * n_upper > 30 * word_chars", "100 * n_upper <= 15 * word_chars"),
-        rule("100 * n_ends < n_words", "40 * n_ends >= n_words"),
-        rule("20 * n_bangs > n_words", "100 * n_bangs <= n_words"),
-    ]
+    return [F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end") for bad, good in RULES.values()]
 
 
 def weights(model: RuleModel) -> list[tuple[float, float]]:
@@ -150,16 +154,17 @@ def weights(model: RuleModel) -> list[tuple[float, float]]:
     return [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in zip(model.on_good, model.on_bad, strict=True)]
 
 
-def bounded(right: float, cast: float, start: float, pseudo: float, low: float, high: float) -> float:
-    return min(max((right + start * pseudo) / (cast + pseudo), low), high)
-
-
 def fit(patterns: list[tuple[tuple[int, ...], int]]) -> RuleModel:
-    """EM over (votes, number of documents) rows, of which there are at most 3**len(RULES)."""
-    model = RuleModel(0.8, (ON_GOOD[0],) * len(RULES), (ON_BAD[0],) * len(RULES))
+    """EM over (votes, number of documents) rows, of which there are at most 3**len(RULES).
+
+    All rules start alike, on good documents as on bad ones, and are smoothed by PSEUDO votes of that start.
+    What names the two classes is one constraint: no rule's bad vote speaks for good.
+    """
+    model = RuleModel(START, (START,) * len(RULES), (START,) * len(RULES))
     n = sum(c for _, c in patterns)
     if not n:
         return model
+    smoothed = lambda right, cast: (right + START * PSEUDO) / (cast + PSEUDO)
     for _ in range(ROUNDS):
         ws, odds = weights(model), math.log(model.prior / (1 - model.prior))
         post = []
@@ -170,10 +175,9 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> RuleModel:
         for j in range(len(RULES)):
             total = [sum(c * p for v, c, p in post if v[j] == x) for x in (1, -1)]
             other = [sum(c * (1 - p) for v, c, p in post if v[j] == x) for x in (1, -1)]
-            good.append(bounded(total[0], sum(total), *ON_GOOD))
-            bad.append(bounded(other[1], sum(other), *ON_BAD))
-        prior = min(max(sum(c * p for _, c, p in post) / n, PRIOR[0]), PRIOR[1])
-        model = RuleModel(prior, tuple(good), tuple(bad))
+            good.append(smoothed(total[0], sum(total)))
+            bad.append(max(smoothed(other[1], sum(other)), 1 - good[-1]))
+        model = RuleModel(smoothed(sum(c * p for _, c, p in post), n), tuple(good), tuple(bad))
     return model
 
 
@@ -203,36 +207,27 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs` that the rules keep, columns unchanged.  Texts are read twice, never shuffled."""
-    model = learn(docs.select(features(F.col(text)).alias("q")).select(*flat(F.col("q"))))
+    """The rows of `docs` that the rules keep, columns unchanged.  Rows are written once with their counts; texts are never shuffled."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("~row"), features(F.col(text)).alias("~q"))
-    good = whole.select("`~row`", *flat(F.col("`~q`"))).where(~base_failed() & (posterior(model) >= 0.5))
+    counted = materialise(whole.select("`~row`", *flat(F.col("`~q`"))), "quality-rows")
+    good = counted.where(~base_failed() & (posterior(learn(counted)) >= 0.5))
     return good.select(*[F.col("`~row`")[c].alias(c) for c in docs.columns])
 
 
 def oracle() -> str:
     """DuckDB SQL for `judge` over the view documents."""
-    rules = {
-        "symbols": ("10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-        "repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 15 * n_words"),
-        "duplicate_lines": ("100 * n_dup_lines > 50 * n_lines", "n_dup_lines = 0 and n_lines > 2"),
-        "word_length": ("word_chars < 3 * n_words or word_chars > 12 * n_words", "2 * word_chars >= 7 * n_words and word_chars <= 9 * n_words"),
-        "capitals": ("100 * n_upper > 30 * word_chars", "100 * n_upper <= 15 * word_chars"),
-        "sentence_ends": ("100 * n_ends < n_words", "40 * n_ends >= n_words"),
-        "exclamations": ("20 * n_bangs > n_words", "100 * n_bangs <= n_words"),
-    }
-    k = range(len(rules))
-    vote = ", ".join(f"case when {b} then -1 when {g} then 1 else 0 end as v{j}" for j, (b, g) in enumerate(rules.values()))
+    k = range(len(RULES))
+    vote = ", ".join(f"case when {b} then -1 when {g} then 1 else 0 end as v{j}" for j, (b, g) in enumerate(RULES.values()))
     vs, acc = ", ".join(f"v{j}" for j in k), ", ".join(f"g{j}, b{j}" for j in k)
     odds = "ln(pi / (1 - pi)) + " + " + ".join(f"case when v{j} > 0 then ln(g{j} / (1 - b{j})) when v{j} < 0 then ln((1 - g{j}) / b{j}) else 0 end" for j in k)
     post = f"1 / (1 + exp(-({odds})))"
-    start = ", ".join(f"{ON_GOOD[0]}::double as g{j}, {ON_BAD[0]}::double as b{j}" for j in k)
+    start = ", ".join(f"{START}::double as g{j}, {START}::double as b{j}" for j in k)
 
-    def rate(j: int, wanted: str, share: str, first: float, pseudo: float, low: float, high: float) -> str:
-        right = f"sum(case when v{j} {wanted} 0 then c * {share} else 0 end) + {first * pseudo}::double"
-        return f"least(greatest(({right}) / (sum(case when v{j} <> 0 then c * {share} else 0 end) + {pseudo}::double), {low}::double), {high}::double)"
+    def rate(j: int, wanted: str, share: str) -> str:
+        right = f"sum(case when v{j} {wanted} 0 then c * {share} else 0 end) + {START * PSEUDO}::double"
+        return f"({right}) / (sum(case when v{j} <> 0 then c * {share} else 0 end) + {PSEUDO}::double)"
 
-    step = ", ".join(rate(j, ">", "p", *ON_GOOD) + ", " + rate(j, "<", "(1 - p)", *ON_BAD) for j in k)
+    step = ", ".join(rate(j, ">", "p") + f", greatest({rate(j, '<', '(1 - p)')}, 1 - {rate(j, '>', 'p')})" for j in k)
     return f"""
 with recursive docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 split as (select r, doc_id, t, list_filter(regexp_split_to_array(t, '[ \\t-\\r]+'), lambda x: x <> '') as w,
@@ -246,14 +241,15 @@ feat as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, '')
   (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words,
   len(l)::bigint as n_lines, (length(t) - length(regexp_replace(t, '\\p{{Lu}}', '', 'g')))::bigint as n_upper,
   len(list_filter(w, lambda x: regexp_matches(x, '[.?!]$')))::bigint as n_ends,
-  (length(t) - length(replace(t, '!', '')))::bigint as n_bangs
+  (length(t) - length(regexp_replace(t, '[\\p{{P}}\\p{{S}}]', '', 'g')))::bigint as n_punct,
+  len(regexp_extract_all(t, '{CLOSED.replace("'", "''")}(?:\\n|$)'))::bigint as n_closed
   from split left join cov using (r)),
 judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, {vote} from feat),
 pat as materialized (select {vs}, count(*)::double as c from judged where not base_failed group by {vs}),
 em as (
-  select 0 as it, 0.8::double as pi, {start}
+  select 0 as it, {START}::double as pi, {start}
   union all
-  select it + 1, least(greatest(sum(c * p) / sum(c), {PRIOR[0]}::double), {PRIOR[1]}::double), {step}
+  select it + 1, (sum(c * p) + {START * PSEUDO}::double) / (sum(c) + {PSEUDO}::double), {step}
   from (select em.it, pat.*, {post} as p from em, pat where em.it < {ROUNDS}) group by it
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
