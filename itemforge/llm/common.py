@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BREAK = r"[ \t-\r]+"
-#: Only where the session names no shared folder, as in tests.
+#: Only for a local session that names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
@@ -31,6 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return path or FALLBACK_DIR
 
 
@@ -60,6 +62,13 @@ def ship(spark: SparkSession) -> None:
     context._itemforge_sent = True
 
 
+def column_name(docs: DataFrame, name: str) -> str:
+    """The column that Spark would find by `name`: the exact one, else the one that differs in case only."""
+    if name in docs.columns or docs.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+        return name
+    return next((c for c in docs.columns if c.lower() == name.lower()), name)
+
+
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_BREAK, -1), "")
 

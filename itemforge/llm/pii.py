@@ -5,12 +5,15 @@ numbers and titled names; a second one, made for a text, its named people withou
 entities are its family name and its given one with the gender, whatever the title.  An entity's canonical form (case and separators dropped where they carry
 no identity) and a key give its surrogate, so one entity reads alike in all documents.  Surrogates
 keep the kind, script, case, length of numbers and separators, a card's Luhn validity, a phone's
-country code, an IBAN's country, and a name's gender.  All distinct entities of the corpus are
-checked: a surrogate that equals another's, or a real entity, is drawn again until all differ.
-
-Defined results: a null text stays null, an empty one empty; texts without entities are unchanged;
-repeated rows are treated alike, and null ids are an id of their own; an empty table gives no rows;
-other columns pass through.
+country code, an IBAN's country, and a name's gender; addresses come from reserved blocks.  All distinct
+entities of the corpus are checked: a surrogate that equals another's, or a real entity, is drawn again
+until all differ.  Draws after the third grow longer than the original, so the space of surrogates never
+runs out, whatever the shape.
+
+Defined results: a null text stays null, an empty one empty; texts without entities are unchanged; a
+run without a letter or digit is no secret; repeated rows are treated alike, and null ids are an id of
+their own; of surrogates drawn alike, the one of the first canonical form stays (ties end by the country
+code); an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -20,9 +23,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialise
+from .common import column_name, let, materialise
 
-KEY = "surrogate-key-1"
+#: Moved surrogates that travel as one broadcast map; of more, a join finds them.
+BROADCAST = 10_000
+#: Stands around a mention while a text is cut.
+MARK = "\x01"
 #: Kinds in order of precedence, and their patterns.
 MALE_TITLES = ("Mr", "Mister", "Sir", "Lord", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "Signor", "Господин", "Господина", "Господину")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Lady", "Frau", "Señora", "Señorita", "Sra", "Srta", "Doña", "Dra", "Profa", "Madame", "Mme", "Mademoiselle", "Mlle", "Signora", "Госпожа", "Госпожи", "Госпоже")
@@ -39,7 +45,7 @@ V4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0
 H = "[0-9A-Fa-f]{1,4}"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{32,}+|(?:sk|pk|ghp|gho|xox[abp])[_-][A-Za-z0-9_-]{16,}+|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])|(?<=(?i:token|secret|password|api[_-]?key) ?[=:] ?[\"']?)[A-Za-z0-9_+/=-]{12,}+",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{32,}+|(?:sk|pk|ghp|gho|xox[abp])[_-][A-Za-z0-9_-]{16,}+|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])|(?<=[=:] ?[\"']?)(?<=(?i:token|secret|password|api[_-]?key) ?[=:] ?[\"']?)(?=[_+/=-]*+[A-Za-z0-9])[A-Za-z0-9_+/=-]{12,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip6": rf"(?<![\p{{L}}\p{{N}}_:.])(?=[0-9A-Fa-f]{{0,4}}:)(?=[A-Fa-f:]*[0-9]|(?:[A-Fa-f]*:){{4}})(?:(?:{H}:){{6}}(?:{H}:{H}|{V4})|(?:{H}(?::{H}){{0,6}})?::(?:(?:{H}:){{0,5}}{V4}|{H}(?::{H}){{0,6}})?)(?![\p{{L}}\p{{N}}_]|:[0-9A-Fa-f:]|\.[0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -48,9 +54,24 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "name": rf"(?<!\p{{L}})(?:(?:{TITLE})(?:\.[ \u00A0]*|{GAP}))+{NAME}(?!\p{{L}})",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+INITIALS = "".join(sorted({t[0] for t in MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES}))
+#: What a mention's first characters must be, where that is cheaper to look at than its pattern.
+GUARDS = {"iban": "(?=[A-Z]{2}[0-9]{2})", "ip": "(?=[0-9])", "phone": "(?=[0-9+(])", "ssn": "(?=[0-9])", "card": "(?=[0-9])", "name": f"(?=[{INITIALS}])"}
+INSIDE = ("ip", "phone", "ssn", "card")
+
+
+def any_of(kinds: list[str]) -> str:
+    """All kinds at the start of a word; inside of one only numbers."""
+    one = lambda k: f"{GUARDS.get(k, '')}(?:{PATTERNS[k]})"
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(one, kinds))})|(?<=[\p{{L}}\p{{N}}])(?=[0-9(+])(?:{'|'.join(map(one, INSIDE))})"
+
+
+#: Of a text with an @, and of one without.
+ANY, BARE = any_of(list(PATTERNS)), any_of([k for k in PATTERNS if k != "email"])
 #: Nothing in PATTERNS matches a text without one of these.
-HINT = rf"[0-9@]|(?:{TITLE})(?:\.|[ \u00A0])[ \u00A0]*\p{{L}}|(?:[A-Fa-f]{{0,4}}:){{4}}|(?i:token|secret|password|key) ?[=:]|(?:sk|pk|gh[po]|xox[abp])[_-]|[A-Fa-f]{{32}}|AKIA[A-Z]"
+HINT = (
+    rf"(?=[0-9@=:_A{INITIALS}-])(?:[0-9@]|[=:] ?[\"']?[A-Za-z0-9_+/=-]{{12}}|[_-][A-Za-z0-9_-]{{16}}|AKIA[A-Z]{{16}}|:[A-Fa-f]{{0,4}}:|(?<!\p{{L}})(?:{TITLE})[. \u00A0])"
+)
 #: Given names by gender, syllables of family names, by script.
 GIVEN = {
     "m": ("Adam", "Bruno", "Carl", "Daniel", "Emil", "Felix", "Hugo", "Jonas", "Lucas", "Martin", "Oscar", "Paul", "Robert", "Simon", "Thomas", "Victor"),
@@ -62,6 +83,11 @@ SYLLABLES = {
     "l": ("ba", "de", "fi", "go", "hu", "ka", "le", "mi", "no", "pu", "ra", "se", "ti", "vo", "wa", "zel"),
     "c": ("ба", "де", "фи", "го", "ху", "ка", "ле", "ми", "но", "пу", "ра", "се", "ти", "во", "ва", "зел"),
 }
+#: Classes of letters and digits that a character stays in, as ranges of code points.
+RANGES = (
+    (0x30, 0x39), (0x61, 0x7A), (0x41, 0x5A), (0x430, 0x44F), (0x410, 0x42F), (0x3B1, 0x3C9), (0x391, 0x3A1), (0x5D0, 0x5EA), (0x627, 0x63A), (0x641, 0x64A), (0x660, 0x669), (0x6F0, 0x6F9), (0x915, 0x939), (0x966, 0x96F), (0xE01, 0xE2E),
+    (0x3042, 0x3093), (0x30A2, 0x30F3), (0x4E00, 0x51FF), (0xAC00, 0xAFFF),
+)
 #: Country codes of phones by their digits: of one and two digits; all others have three.
 CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 #: Words after a family name.
@@ -70,10 +96,22 @@ DIGITS = ("phone", "ssn", "card")
 CYRILLIC = r"\p{IsCyrillic}"
 
 
-def mentions(text: Column) -> Column:
-    """All matches in order; an empty array for texts that can't hold any."""
-    none = F.array().cast("array<string>")
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
+def pieces(text: Column, pattern: Column) -> Column:
+    """The text cut at its mentions: text, mention, text, ...  One pass of the pattern; two where the text has the mark."""
+    fast = F.split(F.regexp_replace(text, pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda s, e: F.array(s, e))
+    return F.when(F.contains(text, F.lit(MARK)), F.array_compact(F.flatten(pairs))).otherwise(fast)
+
+
+def first_pieces(text: Column) -> Column:
+    """`pieces` of all kinds; the whole text alone where it can't hold any."""
+    found = F.when(F.contains(text, F.lit("@")), pieces(text, F.lit(ANY))).otherwise(pieces(text, F.lit(BARE)))
+    return F.when(text.rlike(HINT), found).otherwise(F.array(text))
+
+
+def odd(ps: Column) -> Column:
+    """The mentions among pieces."""
+    return F.filter(ps, lambda x, i: i % 2 == 1)
 
 
 def kind(e: Column) -> Column:
@@ -124,23 +162,24 @@ def letter(first: str, n: int, v: Column) -> Column:
     return F.substr(alphabet, v % n + 1, F.lit(1))
 
 
+def classes() -> Column:
+    """RANGES as an array of first and last character and all between."""
+    one = lambda low, high: F.struct(F.lit(chr(low)).alias("low"), F.lit(chr(high)).alias("high"), F.lit("".join(map(chr, range(low, high + 1)))).alias("all"))
+    return F.array(*[one(low, high) for low, high in RANGES])
+
+
 def shaped(c: Column, s: Column, hexadecimal: Column, keep: Column) -> Column:
-    """Each character replaced within its class; the first `keep` characters stay."""
+    """Each character replaced within its class, letters of other classes by Latin ones; the first `keep` characters stay."""
 
     def one(i: Column) -> Column:
-        x, v = F.substr(c, i + 1, F.lit(1)), value(s, i)
-        return (
-            F.when(i < keep, x)
-            .when(hexadecimal, F.substr(F.lit("0123456789abcdef"), v % 16 + 1, F.lit(1)))
-            .when(x.rlike("[0-9]"), letter("0", 10, v))
-            .when(x.rlike("[a-z]"), letter("a", 26, v))
-            .when(x.rlike("[A-Z]"), letter("A", 26, v))
-            .when(x.rlike("[а-я]"), letter("а", 32, v))
-            .when(x.rlike("[А-Я]"), letter("А", 32, v))
-            .when(x.rlike("[α-ω]"), letter("α", 25, v))
-            .when(x.rlike(r"\p{L}"), letter("a", 26, v))
-            .otherwise(x)
-        )
+        def by_class(x: Column) -> Column:
+            v = value(s, i)
+            alike = F.get(F.filter(classes(), lambda r: x.between(r["low"], r["high"])), F.lit(0))["all"]
+            drawn = lambda a: F.substr(a, v * 97 % F.length(a) + 1, F.lit(1))
+            other = F.when(x.rlike(r"\p{L}"), letter("a", 26, v)).otherwise(x)
+            return F.when(i < keep, x).when(hexadecimal, F.substr(F.lit("0123456789abcdef"), v % 16 + 1, F.lit(1))).otherwise(let(alike, lambda a: F.coalesce(drawn(a), other)))
+
+        return let(F.substr(c, i + 1, F.lit(1)), by_class)
 
     chars = F.transform(F.sequence(F.lit(0), F.greatest(F.length(c) - 1, F.lit(0))), one)
     return F.array_join(chars, "")
@@ -158,23 +197,26 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), one), F.lit(0), lambda acc, x: acc + x)
 
 
-def card(canon: Column, s: Column) -> Column:
-    """Same first digit and length; Luhn-valid if and only if the original is."""
-    body = F.concat(F.substr(shaped(canon, s, F.lit(False), F.lit(1)), F.lit(1), F.length(canon) - 1), F.lit("0"))
-    return let(
-        body,
-        lambda b: F.concat(
-            F.substr(b, F.lit(1), F.length(b) - 1),
-            ((10 - luhn(b) % 10 + F.when(luhn(canon) % 10 == 0, 0).otherwise(1 + value(s, F.lit(0)) % 9)) % 10).cast("string"),
-        ),
-    )
+def card(canon: Column, body: Column, s: Column) -> Column:
+    """A shaped card, its last digit such that it is Luhn-valid if and only if the original is."""
+    zero = F.concat(F.substr(body, F.lit(1), F.length(canon) - 1), F.lit("0"))
+    last = lambda b: (10 - luhn(b) % 10 + F.when(luhn(canon) % 10 == 0, 0).otherwise(1 + value(s, F.lit(0)) % 9)) % 10
+    return let(zero, lambda b: F.concat(F.substr(b, F.lit(1), F.length(b) - 1), last(b).cast("string")))
 
 
-def email(canon: Column, s: Column) -> Column:
-    local, n = F.substring_index(canon, "@", 1), F.length(canon)
+def email(canon: Column, body: Column, s: Column, attempt: Column) -> Column:
+    """A shaped local part, grown to ten characters; in later draws by ten."""
+    n = F.length(canon)
     extra = F.array_join(F.transform(F.sequence(n, n + 9), lambda i: letter("a", 26, value(s, i))), "")
-    pad = F.substr(extra, F.lit(1), F.greatest(F.lit(10) - F.length(local), F.lit(0)))
-    return F.concat(pad, shaped(local, s, F.lit(False), F.lit(0)), F.lit("@mail.example.org"))
+    pad = F.substr(extra, F.lit(1), F.when(attempt == 0, F.greatest(F.lit(10) - F.length(body), F.lit(0))).otherwise(10))
+    return F.concat(pad, body, F.lit("@mail.example.org"))
+
+
+def tail(k: Column, canon: Column, s: Column, attempt: Column) -> Column:
+    """What draws after the third add, eight characters more each time, 24 at most."""
+    n = F.length(canon)
+    one = lambda i: F.when(k.isin(*DIGITS), letter("0", 10, value(s, i))).otherwise(letter("a", 26, value(s, i)))
+    return F.when(attempt < 3, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(n, n + F.least(8 * (attempt - 2), F.lit(24)) - 1), one), ""))
 
 
 def syllables(canon: Column, s: Column, start: int, attempt: Column) -> Column:
@@ -197,19 +239,24 @@ def surrogate(k: Column, canon: Column, country: Column, attempt: Column, key: s
     """The canonical form of the surrogate.  country: digits of a phone that stay."""
 
     def build(s: Column) -> Column:
-        octets = F.concat_ws(".", *[(value(s, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
+        # of the block reserved for later, which no network routes
+        octets = F.concat_ws(".", (value(s, F.lit(0)) % 15 + 240).cast("string"), *[value(s, F.lit(i)).cast("string") for i in range(1, 4)])
         # of the block for documentation
         eight = F.concat_ws(":", F.lit("2001"), F.lit("db8"), *[F.lower(F.hex(value(s, F.lit(2 * i)) * 256 + value(s, F.lit(2 * i + 1)))) for i in range(6)])
         hexadecimal = (k == "secret") & canon.rlike("^[0-9a-f]+$")
-        keep = F.when(k == "phone", country).when(k == "iban", F.lit(2)).otherwise(F.lit(0))
+        keep = F.when(k == "phone", country).when(k == "iban", F.lit(2)).when(k == "card", F.lit(1)).otherwise(F.lit(0))
+        source = F.when(k == "email", F.substring_index(canon, "@", 1)).otherwise(canon)
+
+        def of_shape(body: Column) -> Column:
+            whole = F.when(k == "card", card(canon, body, s)).otherwise(body)
+            return F.when(k == "email", email(canon, body, s, attempt)).otherwise(F.concat(whole, tail(k, canon, s, attempt)))
+
         return (
-            F.when(k == "email", email(canon, s))
-            .when(k == "ip", octets)
-            .when(k == "ip6", eight)
-            .when(k == "card", card(canon, s))
+            F.when((k == "ip") & (attempt < 3), octets)
+            .when(k.isin("ip", "ip6"), eight)
             .when(k == "family", syllables(canon, s, 1, attempt))
             .when(k == "given", given_name(canon, s, attempt))
-            .otherwise(shaped(canon, s, hexadecimal, keep))
+            .otherwise(let(shaped(source, s, hexadecimal, keep), of_shape))
         )
 
     return let(stream(k, canon, attempt, key), build)
@@ -253,24 +300,20 @@ def untitled(known: Column) -> Column:
     forms = F.array_distinct(F.concat(whole, F.transform(whole, family)))
     forms = F.transform(F.filter(forms, lambda x: F.length(x) > 1), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))
     either = F.array_join(F.transform(F.array_sort(forms), lambda f: F.regexp_replace(F.regexp_replace(f["x"], r"([.\-])", r"\\$1"), " ", r"[ \\u00A0]+")), "|")
-    return F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), either, F.lit(r")(?![\p{L}\p{N}])"))
+    return F.concat(F.lit("(?:" + ANY + r")|(?<![\p{L}\p{N}])(?:"), either, F.lit(r")(?![\p{L}\p{N}])"))
 
 
-def scan(text: Column, then: Callable[[Column, Column, Column], Column]) -> Column:
-    """`then` of all mentions in order, the text's known people, and the pattern that splits the text.
+def scan(text: Column, then: Callable[[Column, Column], Column]) -> Column:
+    """`then` of the text's pieces and its known people.
 
     A name that a title gives away is a mention wherever the same text has it without one.
     """
 
-    def found(es: Column) -> Column:
-        def wider(known: Column) -> Column:
-            more = F.when(F.size(known) > 0, untitled(known))
-            all_of = F.when(more.isNull(), es).otherwise(F.regexp_extract_all(text, F.coalesce(more, F.lit("^$")), F.lit(0)))
-            return let(F.struct(all_of.alias("es"), F.coalesce(more, F.lit(ANY)).alias("pattern")), lambda x: then(x["es"], known, x["pattern"]))
-
-        return let(people(es), wider)
+    def found(ps: Column) -> Column:
+        wider = lambda known: let(F.when(F.size(known) > 0, pieces(text, untitled(known))).otherwise(ps), lambda all_of: then(all_of, known))
+        return let(people(odd(ps)), wider)
 
-    return let(mentions(text), found)
+    return let(first_pieces(text), found)
 
 
 def named(e: Column, known: Column) -> Column:
@@ -293,7 +336,8 @@ def render(e: Column, k: Column, scs: Column) -> Column:
             at = F.length(F.regexp_replace(F.substr(e, F.lit(1), i + 1), keep, ""))
             return F.when(x.rlike(keep), x).otherwise(F.substr(sc, at, F.lit(1)))
 
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.length(e) - 1), one), "")
+        rest = F.substr(sc, F.length(F.regexp_replace(e, keep, "")) + 1, F.length(sc))
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.length(e) - 1), one), ""), rest)
 
     upper = (F.upper(e) == e) & (F.lower(e) != e)
     words = F.array_join(F.transform(scs, lambda x: F.initcap(x)), " ")
@@ -347,32 +391,41 @@ def redraw(known: DataFrame, key: str) -> DataFrame:
             return fixed.where("attempt > 0").select("kind", "canon", "country", "sc")
 
 
-def replaced(text: Column, key: str, overrides: Column) -> Column:
-    """The text with every mention rendered anew; split and matches interleave."""
+def named_by(x: Column) -> Column:
+    """An entity's name in the map of moved surrogates."""
+    return F.concat_ws("\n", x["kind"], x["country"].cast("string"), x["canon"])
+
+
+def replaced(text: Column, key: str, moved: Column | None) -> Column:
+    """The text with every mention rendered anew.  moved: a map from named_by to other surrogates than the first drawn."""
 
     def drawn(x: Column) -> Column:
-        own = F.get(F.filter(overrides, lambda o: (o["kind"] == x["kind"]) & (o["canon"] == x["canon"]) & (o["country"] == x["country"])), F.lit(0))["sc"] if overrides is not None else None
         base = surrogate(x["kind"], x["canon"], x["country"], F.lit(0), key)
-        return base if own is None else F.coalesce(own, base)
+        return base if moved is None else F.coalesce(F.try_element_at(moved, named_by(x)), base)
 
-    def join(es: Column, known: Column, pattern: Column) -> Column:
+    def join(ps: Column, known: Column) -> Column:
         one = lambda e: let(entities(e, known), lambda xs: render(e, F.get(xs, F.lit(0))["kind"], F.transform(xs, drawn)))
-        parts = F.zip_with(F.split(text, pattern, -1), es, lambda s, e: F.concat(s, F.when(e.isNull(), F.lit("")).otherwise(one(e))))
-        return F.when(F.size(es) == 0, text).otherwise(F.array_join(parts, ""))
+        return F.when(F.size(ps) < 2, text).otherwise(F.array_join(F.transform(ps, lambda x, i: F.when(i % 2 == 1, one(x)).otherwise(x)), ""))
 
     return scan(text, join)
 
 
-def pseudonymise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
-    """`docs` with every entity of `text` replaced; columns and rows unchanged otherwise."""
-    found = docs.select(F.col(doc_id).alias("id"), F.explode(scan(F.col(text), lambda es, known, _: F.flatten(F.transform(es, lambda e: entities(e, known))))).alias("x")).select("id", "x.kind", "x.canon", "x.country")
+def pseudonymise(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with every entity of `text` replaced by its surrogate under `key`, a secret of the caller's; columns and rows unchanged otherwise."""
+    doc_id, text = column_name(docs, doc_id), column_name(docs, text)
+    each = scan(F.col(f"`{text}`"), lambda ps, known: F.flatten(F.transform(odd(ps), lambda e: entities(e, known))))
+    found = docs.select(F.col(f"`{doc_id}`").alias("id"), F.explode(each).alias("x")).select("id", "x.kind", "x.canon", "x.country")
     found = materialise(found.distinct(), "pii-mentions")
     moved = materialise(redraw(found.select("kind", "canon", "country").distinct(), key), "pii-moved")
+    n = moved.limit(BROADCAST + 1).count()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("~row")
     rows, special = docs.select(row), None
-    if moved.limit(1).count():
-        per = found.join(moved, ["kind", "canon", "country"]).groupBy("id").agg(F.collect_list(F.struct("kind", "canon", "country", "sc")).alias("~special"))
-        per = per.withColumnRenamed("id", "~id")
-        rows = rows.join(per, F.col("`~row`")[doc_id].eqNullSafe(F.col("`~id`")), "left")
-        special = F.coalesce(F.col("`~special`"), F.array().cast(per.schema["~special"].dataType))
+    if n:
+        entries = F.map_from_entries(F.collect_list(F.struct(named_by({c: F.col(c) for c in moved.columns}).alias("k"), F.col("sc").alias("v"))))
+        if n <= BROADCAST:
+            rows = rows.crossJoin(F.broadcast(moved.agg(entries.alias("~moved"))))  # one row
+        else:
+            per = found.join(moved, ["kind", "canon", "country"]).groupBy(F.col("id").alias("~id")).agg(entries.alias("~moved"))
+            rows = rows.join(per, F.col("`~row`")[doc_id].eqNullSafe(F.col("`~id`")), "left")
+        special = F.col("`~moved`")
     return rows.select(*[(replaced(F.col("`~row`")[c], key, special) if c == text else F.col("`~row`")[c]).alias(c) for c in docs.columns])

@@ -10,6 +10,11 @@ from . import language_id, mixing, nearest, ngram_join, packing, pii, quality_cl
 from .common import ship, table
 
 
+def key_of(spark: SparkSession) -> str:
+    """The key of surrogates: spark.itemforge.pii.key of the session; a published one for test tables only."""
+    return spark.conf.get("spark.itemforge.pii.key", "key-of-the-test-tables")
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents")
@@ -19,7 +24,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, key_of(spark))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def test_awkward_rows_stay_whole(awkward, none, spark):
     n = len(AWKWARD)
     forest, model = quality_classifier.grow(np.zeros((0, 22)), np.zeros(0)), language_id.train(awkward)
     for f in (
-        quality_rules.judge, mixing.mix, sharding.assign, ngram_join.join, pii.pseudonymise,
+        quality_rules.judge, mixing.mix, sharding.assign, ngram_join.join, lambda d: pii.pseudonymise(d, "k"),
         lambda d: quality_classifier.score(d, forest), lambda d: language_id.identify(d, model),
     ):
         assert f(awkward).count() == n and f(none).count() == 0
@@ -120,7 +120,7 @@ def test_surrogates(spark):
         (3, 'TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B" ssn 123-45-6789 mail ann.lee@corp.example.com'),
         (4, "clean text, 12 numbers, 2020-10-10"),
     ]
-    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     for gone in ("ann.lee", "bob@", "555-7713", "müller", "doe", "иванов", "10.1.2.3", "4111", "9233a8", "123-45"):
         assert gone not in "".join(out.values()).lower()
     mails = re.findall(r"[\w.]+@[\w.]+\w", out[1] + out[3])
@@ -137,7 +137,7 @@ def test_surrogate_collisions(spark, monkeypatch):
     real = pii.surrogate
     monkeypatch.setattr(pii, "surrogate", lambda k, c, n, attempt, key: F.when(attempt == 0, F.lit("9.9.9.9")).otherwise(real(k, c, n, attempt, key)))
     rows = [(i, f"at 10.0.0.{i} and 10.0.0.{i % 5}") for i in range(20)]
-    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
     named = {}
     for r in out:
         for old, new in zip(re.findall(r"\d+\.\d+\.\d+\.\d+", rows[r["doc_id"]][1]), re.findall(r"\d+\.\d+\.\d+\.\d+", r["text"]), strict=True):

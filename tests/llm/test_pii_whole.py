@@ -15,7 +15,7 @@ KEEP = ["std::vector", "12:30:45", "a::b", "00:1b:44:11:3a:b7", "The drive", "Mr
 
 
 def replaced(spark, texts):
-    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
     return [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
