@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from itemforge.llm import mixing, ngram_join, packing, pii, quality_rules
 from itemforge.llm.common import shared_dir, ship
+from itemforge.llm.queries import key_of
 
 #: Near-duplicate documents: shingles of five words, similarity of 0.8.
 WORDS, SIMILARITY, SCALE = 5, 80, 100
@@ -34,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, personal data replaced."""
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, key_of(spark))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
