@@ -93,34 +93,44 @@ def hex_number(value: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(value, start, digits), 16, 10).cast("long")
 
 
+#: A key that holds a larger part of a table's rows than one in so many is hot; there are fewer of them than this.
+HOT = 1024
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of `left`, of `total` rows, with a table of one row a key, whose column `n` counts the key's rows in `left`.
+
+    Rows of hot keys stay where they are and meet a broadcast table of fewer than HOT keys; `n` isn't returned.
+    """
+    hot = F.col(n) * HOT > F.lit(total)
+    heavy = F.broadcast(right.where(hot).drop(n))
+    rest = left.join(F.broadcast(right.where(hot).select(*on)), on, "left_anti").join(right.where(~hot).drop(n), on)
+    return left.join(heavy, on).unionByName(rest)
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of long ids: (node, component), component = the smallest id reachable.
 
-    Alternates large-star and small-star steps, so a chain of n edges takes O(log n) rounds and
-    a hub never gathers its neighbours in one task (minima are pre-aggregated).  Self-loops and
-    repeated edges are ignored; nodes without an edge are not returned.
+    Alternates large-star and small-star steps, so a chain of n edges takes O(log n) rounds; a hub's edges
+    stay spread over the tasks (spread_join), and minima are pre-aggregated.  Ends when the edges are stars:
+    no node has two edges down, or one down and one up.  Self-loops and repeated edges are ignored; nodes
+    without an edge are not returned.
     """
-    e = (
-        edges.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct()
-    )
-    e, seen = materialise(e, "edges"), None
+    e = materialise(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     while True:
-        found = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
-        if found[0] == 0 or tuple(found) == seen:
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        ends = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        if not ends.where("down > 1 or (down > 0 and up > 0)").limit(1).count():
             break
-        seen = tuple(found)
+        n = e.count()
         both = e.union(e.select("v", "u"))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n"))
+        large = spread_join(both.where("v > u"), lowest, ["u"], "n", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.distinct(), "edges")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, lowest, ["u"], "n", n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(small.union(lowest.select("u", "m")).distinct(), "edges")
-    return e.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        e.select("v", "v").distinct()
-    )
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
 class IdFilter:

@@ -3,9 +3,9 @@
 Texts become sets of hashed word shingles; equal sets collapse to one representative first.  Two sets
 link when shared * scale >= similarity * union, in whole numbers.
 
-Shingles have one global order: unique ones first, then rare and frequent ones by document count
-(in powers of two; exact for the most frequent), then those that were not counted (the upper part of the hash range, which prefixes hardly
-reach).  Of a set of n, e = n * (scale - similarity) // scale members at most can be missing from a
+Shingles have one global order: by document count, unique ones first (counts in steps of an eighth of an
+octave, then by hash), then those that were not counted (the upper part of the hash range, which prefixes
+hardly reach).  Of a set of n, e = n * (scale - similarity) // scale members at most can be missing from a
 partner, and d = n * (scale - similarity) // similarity bounds what either lacks.  So a linked pair
 
 * shares a member of both prefixes of e + 1: where it is rare, it is a key by itself (unique ones
@@ -13,44 +13,46 @@ partner, and d = n * (scale - similarity) // similarity bounds what either lacks
 * or only members from the frequent classes on, and then, in both prefixes extended to e + d + 2, some
   two shared members are neighbours in both orders: neighbouring pairs of frequent members are keys.
 
-Counts are kept in a table of bounded size, whose collisions only make a shingle seem more frequent.
-Where a corpus fills more than half of it, unique and rare shingles count as frequent.
+Counts are a dictionary distributed by hash.  Batches of documents ask each of its parts for their distinct
+shingles, with their counts in the batch, and get back one byte a shingle; so a shingle that all documents
+share costs an entry a batch, and nothing of it passes the driver.
 
 Either way a linked pair shares a key, so nothing is lost, and no set has more than n keys.  Sizes of
 linked sets differ by the similarity's ratio at most, so a key counts within two neighbouring bands of
 sizes only.  Sets that share keys form clusters (components over key hubs).  A cluster is compared in
-one task, a larger one in pairs of bounded blocks or, where that sends fewer rows, by the lists of sets
-under its keys, long lists again in pairs of blocks.  Tasks compare by products of membership matrices
-and return each set's smallest linked id, never pairs.
+one task.  A larger one is cut in bounded blocks, or, where that sends fewer rows, in the lists of sets
+under its keys, long lists again in blocks.  Blocks are compared each by itself first, then all with the
+sets of most links; what those join needs no more comparing with each other, so only sets outside the
+largest component so far meet all blocks.  Tasks compare by products of membership matrices and return each
+set's smallest linked id, never pairs.
 
 Defined results: null and empty texts have no shingles and link with nothing; a text with fewer words
 than a shingle has one, the whole sequence; a row of null id is counted, linked with nothing and has a
-null component; rows that share an id are one node; repeated rows are copies; an empty table gives no
-rows; other columns are never read.
+null component; rows that share an id are one node; repeated rows are copies; ties of equal sets go to the
+smallest id; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IdFilter, components, materialise
+from .common import IdFilter, components, materialise, spread_join
 
 WORDS, SIMILARITY, SCALE = 3, 90, 100
-#: A shingle in so many documents is frequent; at most so many get exact counts, else the bar for those doubles.
-FREQUENT, MOST_FREQUENT = 32, 500_000
-#: Rows and shingles that one task compares; keys of so few rows are compared whole within large clusters.
-GROUP_ROWS, GROUP_SHINGLES, SHORT_LIST = 1024, 2_000_000, 64
-#: Shingles that one counting task holds; slots of the table at least and at most, and of a part;
-#: bytes hashed at once, and of a slice of a batch.
-COUNTED, TABLE, PART, CHUNK, SLICE = 4_000_000, (1 << 16, 1 << 26), 1 << 16, 1 << 20, 8 << 20
+#: A shingle in so many documents is frequent.
+FREQUENT = 32
+#: Rows and shingles that one task compares; keys of so few rows are compared whole within large clusters; sets of most links that a large cluster tries.
+GROUP_ROWS, GROUP_SHINGLES, SHORT_LIST, LEADERS = 1024, 2_000_000, 64, 64
+#: Shingles that one counting task holds, bytes hashed at once, and of a slice of a batch.
+COUNTED, CHUNK, SLICE = 4_000_000, 1 << 20, 8 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,56 +154,36 @@ def allowances(size: int, similarity: int, scale: int) -> tuple[int, int]:
     return size * (scale - similarity) // scale, size * (scale - similarity) // similarity
 
 
-@dataclass(frozen=True)
-class Classes:
-    """frequent: sorted 48-bit prefixes, with their document counts; levels: logarithms of counts, by a prefix's remainder."""
-
-    frequent: np.ndarray
-    counts: np.ndarray
-    levels: np.ndarray
-    limit: np.uint64
-
-    def order(self, members: np.ndarray) -> np.ndarray:
-        """1 for unique, else about the document count; a value above all for the uncounted."""
-        short = members >> np.uint64(16)
-        out = np.int64(1) << self.levels[short % np.uint64(len(self.levels))].astype(np.int64)
-        if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, short), len(self.frequent) - 1)
-            hit = self.frequent[at] == short
-            out[hit] = self.counts[at[hit]]
-        out[members >= self.limit] = 1 << 62
-        return out
-
-    @property
-    def full(self) -> bool:
-        return 2 * np.count_nonzero(self.levels) > len(self.levels)
-
-
-def keys_of(members: np.ndarray, classes: Classes, full: bool, similarity: int, scale: int) -> np.ndarray:
-    """Keys of one set.  full: the table doesn't tell, so unique and rare count as frequent."""
-    if len(members) < 2:
-        return members[:0]  # equal sets only, and those have collapsed
-    kind = classes.order(members)
-    e, d = allowances(len(members), similarity, scale)
-    order = np.lexsort((members, kind))[: e + d + 2]
-    kind = kind[order]
-    rare = (kind[: e + 1] > 1) & (kind[: e + 1] < FREQUENT)
-    single = members[order[: e + 1][rare]] if not full else members[:0]
-    frequent = kind >= (0 if full else FREQUENT)
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """0 for a unique shingle, else eight steps an octave, in one byte."""
+    return np.where(counts < 2, 0, np.minimum(255, np.floor(8 * np.log2(np.maximum(counts, 1))))).astype(np.uint8)
+
+
+def keys_of(low: np.ndarray, levels: np.ndarray, rest: np.ndarray, size: int, similarity: int, scale: int) -> np.ndarray:
+    """Keys of a set of `size`: its counted members with their levels, and as many of the rest as its prefix may reach."""
+    if size < 2:
+        return low[:0]  # equal sets only, and those have collapsed
+    e, d = allowances(size, similarity, scale)
+    order = np.lexsort((low, levels))
+    members = np.concatenate([low[order], rest])[: e + d + 2]
+    level = np.concatenate([levels[order].astype(np.int64), np.full(len(rest), 256)])[: e + d + 2]
+    bar = int(levels_of(np.array([FREQUENT]))[0])
+    single = members[: e + 1][(level[: e + 1] > 0) & (level[: e + 1] < bar)]
+    frequent = level >= bar
     both = np.flatnonzero(frequent[:-1] & frequent[1:])
-    left, right = members[order[both]], members[order[both + 1]]
+    left, right = members[both], members[both + 1]
     return np.unique(np.concatenate([single, ((left ^ (left >> np.uint64(31))) * MIX + right) * MIX]))
 
 
-def linked(ids: np.ndarray, sets: list[np.ndarray], similarity: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """(id, smallest id of its component) among the given sets; ids ascend."""
-    m = len(sets)
+def linked(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, similarity: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest id of its component, links) of each of the given sets; ids ascend.  Pairs whose sides are both 0 aren't compared."""
+    m, first = len(sets), np.flatnonzero(sides)
     size = np.array([len(s) for s in sets], dtype=np.int64)
     row = np.repeat(np.arange(m), size)
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[column] > 1
     row, column = row[shared], column[shared]
-    both = np.zeros((m, m), dtype=np.float64)
+    both = np.zeros((len(first), m), dtype=np.float64)
     if len(column):
         by = np.argsort(column, kind="stable")
         row, column = row[by], column[by]
@@ -211,123 +193,181 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], similarity: int, scale: int)
             at = slice(*np.searchsorted(column, [start, start + step]))
             part = np.zeros((m, step), dtype=np.float32)
             part[row[at], column[at] - start] = 1
-            both += part @ part.T
-    near = scale * both >= similarity * (size[:, None] + size[None, :] - both)
-    near &= (size > 0)[:, None] & (size > 0)[None, :]
-    near |= np.eye(m, dtype=bool) | (ids[:, None] == ids[None, :])
+            both += part[first] @ part.T
+    near = scale * both >= similarity * (size[first, None] + size[None, :] - both)
+    near &= (size[first, None] > 0) & (size[None, :] > 0)
+    near |= ids[first, None] == ids[None, :]
+    links = np.zeros(m, dtype=np.int64)
+    links[first] = near.sum(axis=1) - 1
     label = np.arange(m)
     while True:
-        lower = np.where(near, label[None, :], m).min(axis=1)
-        lower = np.minimum(lower, label[lower])
+        lower = label.copy()
+        lower[first] = np.minimum(lower[first], np.where(near, label[None, :], m).min(axis=1, initial=m))
+        lower = np.minimum(lower, np.where(near, lower[first, None], m).min(axis=0, initial=m))
+        lower = np.minimum(lower, lower[lower])
         if (lower == label).all():
-            return ids, ids[label]
+            return ids[label], links
         label = lower
 
 
-def count_shingles(source: DataFrame, n: int, limit: np.uint64) -> Classes:
-    """Classes of the shingles below `limit`, by the number of rows that have them.
-
-    All rows count.  Each batch sends its shingles packed in six bytes, split by hash prefix, repeats
-    as one entry with a count, so that a hot shingle costs an entry a batch.
-    """
-    total = (source.agg(F.sum(F.length("text"))).first()[0] or 0) // 6
-    bits = min(20, max(4, (total // COUNTED).bit_length()))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            parts = [s[: np.searchsorted(s, limit)] for s in sets_of(b, n)]
-            if not parts:
-                continue
-            value, count = np.unique(np.concatenate(parts) >> np.uint64(16), return_counts=True)
-            once = count == 1
-            one, more, times = value[once], value[~once], count[~once].astype("<u4")
-            edge = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(48 - bits)
-            six = lambda v: v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            a, c = np.r_[0, np.searchsorted(one, edge), len(one)], np.r_[0, np.searchsorted(more, edge), len(more)]
-            some = [p for p in range(1 << bits) if a[p + 1] > a[p] or c[p + 1] > c[p]]
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array(some, pa.int32()),
-                "one": pa.array([six(one[a[p] : a[p + 1]]) for p in some], pa.binary()),
-                "more": pa.array([six(more[c[p] : c[p + 1]]) for p in some], pa.binary()),
-                "times": pa.array([times[c[p] : c[p + 1]].tobytes() for p in some], pa.binary()),
-            })
-
-    def unpack(column: pa.ChunkedArray) -> np.ndarray:
-        raw = np.frombuffer(b"".join(x.as_py() for x in column), dtype=np.uint8).reshape(-1, 6)
-        out = np.zeros((len(raw), 8), dtype=np.uint8)
-        out[:, :6] = raw
-        return out.view("<u8").ravel()
-
-    def count(t: pa.Table) -> pa.Table:
-        one, more = unpack(t.column("one")), unpack(t.column("more"))
-        times = np.frombuffer(b"".join(x.as_py() for x in t.column("times")), dtype="<u4")
-        value, at = np.unique(np.concatenate([one, more]), return_inverse=True)
-        total = np.bincount(at, weights=np.r_[np.ones(len(one)), times], minlength=len(value)).astype(np.int64)
-        keep = total > 1
-        return pa.table({"shingle": pa.array(value[keep].astype(np.int64), pa.int64()), "n": pa.array(total[keep], pa.int64())})
-
-    packed = source.mapInArrow(pack, "part int, one binary, more binary, times binary")
-    found = materialise(packed.groupBy("part").applyInArrow(count, "shingle long, n long"), "frequent")
-    by_size = {r["b"]: r["n"] for r in found.groupBy(F.floor(F.log2("n")).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}
-    bar = FREQUENT
-    while sum(v for b, v in by_size.items() if 2**b >= bar) > MOST_FREQUENT:
-        bar *= 2
-    rows = found.where(F.col("n") >= bar).toPandas().sort_values("shingle")  # MOST_FREQUENT at most
-    size = min(TABLE[1], max(TABLE[0], 1 << (4 * sum(by_size.values())).bit_length()))
-
-    def part(t: pa.Table) -> pa.Table:
-        levels = np.zeros(PART, dtype=np.uint8)
-        place = np.asarray(t.column("place"), dtype=np.int64)
-        np.maximum.at(levels, place % PART, np.log2(np.asarray(t.column("n"), dtype=np.int64)).astype(np.uint8))
-        return pa.table({"part": pa.array([int(place[0]) // PART], pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary())})
-
-    placed = found.select("n", F.pmod("shingle", F.lit(size)).alias("place"))
-    levels = np.zeros(size, dtype=np.uint8)
-    for r in placed.groupBy(F.floor(F.col("place") / PART)).applyInArrow(part, "part int, levels binary").collect():  # TABLE[1] bytes at most
-        levels[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["levels"], dtype=np.uint8)
-    return Classes(rows["shingle"].to_numpy(dtype=np.uint64), rows["n"].to_numpy(dtype=np.int64), levels, limit)
-
-
-def keyed(source: DataFrame, n: int, similarity: int, scale: int) -> DataFrame:
-    """(doc_id, n, s1, s2, keys): size, 128-bit signature and keys of each row's set."""
-    limit = np.uint64(min(2**64 - 1, 2**64 * 4 * (scale - similarity) // scale))
-    shared = source.sparkSession.sparkContext.broadcast(count_shingles(source, n, limit))
+def indexed(source: DataFrame, n: int, limit: np.uint64, similarity: int, scale: int) -> DataFrame:
+    """A row a batch of documents: ids, sizes, 128-bit signatures, the members below `limit`, and what prefixes may need of the rest."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
-        full = classes.full
         for b in sliced(batches):
-            size, high, low, keys = [], [], [], []
+            size, high, low, counted, rest = [], [], [], [], []
             for s in sets_of(b, n):
                 d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8")
                 size.append(len(s)), high.append(d[0]), low.append(d[1])
-                keys.append(signed(keys_of(s, classes, full, similarity, scale)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "s1", "s2", "keys"])
+                k = int(np.searchsorted(s, limit))
+                counted.append(s[:k]), rest.append(s[k : k + max(0, sum(allowances(len(s), similarity, scale)) + 2 - k)])
+            if size:
+                longs = lambda xs: pa.array([np.array(xs, dtype=np.int64)], pa.list_(pa.int64()))
+                whole = lambda xs: pa.array([np.concatenate(xs).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uuid.uuid4().hex]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), longs(size), longs(high), longs(low),
+                     longs([len(x) for x in counted]), whole(counted), longs([len(x) for x in rest]), whole(rest)],
+                    ["batch", "ids", "sizes", "s1", "s2", "n_counted", "counted", "n_rest", "rest"],
+                )
+
+    return source.mapInArrow(index, "batch string, ids array<long>, sizes array<long>, s1 array<long>, s2 array<long>, n_counted array<long>, counted binary, n_rest array<long>, rest binary")
+
 
-    return source.mapInArrow(index, "doc_id long, n long, s1 long, s2 long, keys array<long>")
+def short(members: np.ndarray) -> np.ndarray:
+    """48-bit prefixes, by which shingles are counted; where two agree, both seem more frequent."""
+    return members >> np.uint64(16)
 
 
-def groups(postings: DataFrame) -> DataFrame:
-    """(gid, doc_id): sets to compare together.  postings: key, doc_id, n, hub, m (rows), size (shingles) of keys with two rows or more."""
-    cluster = components(postings.select("hub", "doc_id"), "hub", "doc_id").withColumnRenamed("node", "doc_id")
-    placed = materialise(postings.join(cluster, "doc_id"), "ngram-placed")
-    each = placed.select("component", "doc_id", "n").distinct()
-    sizes = each.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-    sizes = sizes.withColumn("blocks", needed("rows", "shingles"))
-    by_key = placed.groupBy("component").agg(F.sum(F.when(F.col("m") <= SHORT_LIST, 1).otherwise(needed("m", "size"))).alias("sent"))
-    sizes = sizes.join(by_key, "component").withColumn("whole", F.col("rows") * F.col("blocks") <= F.col("sent")).select("component", "blocks", "whole")
-    whole = paired(each.join(sizes.where("whole"), "component"), "c", "component")
-    large = placed.join(sizes.where("not whole").select("component"), "component")
-    lists = large.where(F.col("m") <= SHORT_LIST).groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))  # SHORT_LIST at most
-    lists = lists.select("docs").distinct().select(F.concat(F.lit("l"), F.xxhash64("docs")).alias("gid"), F.explode("docs").alias("doc_id"))
-    long = large.where(F.col("m") > SHORT_LIST).select("key", "doc_id", needed("m", "size").alias("blocks"))
-    return whole.unionByName(lists).unionByName(paired(long, "b", "key"))
+def edges_of(prefixes: np.ndarray, bits: int) -> np.ndarray:
+    """Where the parts of the dictionary begin and end among sorted prefixes."""
+    return np.r_[0, np.searchsorted(prefixes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(48 - bits)), len(prefixes)]
+
+
+def keyed(source: DataFrame, n: int, similarity: int, scale: int) -> DataFrame:
+    """(doc_id, n, s1, s2, keys): size, 128-bit signature and keys of each row's set."""
+    away = (scale - similarity) / scale
+    limit = np.uint64(min(2**64 - 1, int(2**64 * 1.25 * (away + away * scale / similarity))))
+    total = (source.agg(F.sum(F.length("text"))).first()[0] or 0) // 6
+    bits = min(20, max(4, (total // COUNTED).bit_length()))
+    base = materialise(indexed(source, n, limit, similarity, scale), "ngram-batches")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for batch, counted in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                value, count = np.unique(short(np.frombuffer(counted.as_buffer(), dtype="<u8")), return_counts=True)
+                edge, more = edges_of(value, bits), np.flatnonzero(count > 1)
+                six = np.ascontiguousarray(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+                repeats = np.stack([more, count[more]], axis=1).astype("<u4") if len(more) else np.zeros((0, 2), dtype="<u4")
+                at = np.searchsorted(more, edge)
+                parts = [p for p in range(1 << bits) if edge[p + 1] > edge[p]]
+                local = lambda p: (repeats[at[p] : at[p + 1]] - np.array([edge[p], 0], dtype="<u4")).tobytes()
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array(parts, pa.int32()),
+                    "batch": pa.array([batch] * len(parts), pa.string()),
+                    "shingles": pa.array([six[edge[p] : edge[p + 1]].tobytes() for p in parts], pa.binary()),
+                    "repeats": pa.array([local(p) for p in parts], pa.binary()),
+                })
+
+    def count(t: pa.Table) -> pa.Table:
+        sizes, values, times = [], [], []
+        for s, r in zip(t.column("shingles").to_pylist(), t.column("repeats").to_pylist(), strict=True):
+            raw = np.zeros((len(s) // 6, 8), dtype=np.uint8)
+            raw[:, :6] = np.frombuffer(s, dtype=np.uint8).reshape(-1, 6)
+            each = np.ones(len(raw), dtype=np.int64)
+            pairs = np.frombuffer(r, dtype="<u4").reshape(-1, 2)
+            each[pairs[:, 0]] = pairs[:, 1]
+            sizes.append(len(raw)), values.append(raw.view("<u8").ravel()), times.append(each)
+        _, at = np.unique(np.concatenate(values), return_inverse=True)
+        level = levels_of(np.bincount(at, weights=np.concatenate(times)))[at]
+        ends = np.cumsum([0, *sizes])
+        told = [level[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        some = [i for i, x in enumerate(told) if x.any()]  # without an answer all are unique
+        return pa.table({
+            "batch": t.column("batch").take(pa.array(some, pa.int64())),
+            "part": t.column("part").take(pa.array(some, pa.int64())),
+            "levels": pa.array([told[i].tobytes() for i in some], pa.binary()),
+        })
+
+    def index(docs: pa.Table, told: pa.Table) -> pa.Table:
+        out = [[], [], [], [], []]
+        answers = dict(zip(told.column("part").to_pylist(), told.column("levels").to_pylist(), strict=True))
+        for r in docs.to_pylist():
+            counted, rest = np.frombuffer(r["counted"], dtype="<u8"), np.frombuffer(r["rest"], dtype="<u8")
+            value, at = np.unique(short(counted), return_inverse=True)
+            level, edge = np.zeros(len(value), dtype=np.uint8), edges_of(value, bits)
+            for part, found in answers.items():
+                level[edge[part] : edge[part + 1]] = np.frombuffer(found, dtype=np.uint8)
+            level, a, c = level[at], np.cumsum([0, *r["n_counted"]]), np.cumsum([0, *r["n_rest"]])
+            for i, size in enumerate(r["sizes"]):
+                keys = keys_of(counted[a[i] : a[i + 1]], level[a[i] : a[i + 1]], rest[c[i] : c[i + 1]], size, similarity, scale)
+                for column, x in zip(out, (r["ids"][i], size, r["s1"][i], r["s2"][i], signed(keys)), strict=True):
+                    column.append(x)
+        return pa.table({
+            "doc_id": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int64()), "s1": pa.array(out[2], pa.int64()), "s2": pa.array(out[3], pa.int64()),
+            "keys": pa.array(out[4], pa.list_(pa.int64())),
+        })
+
+    asked = base.select("batch", "counted").mapInArrow(ask, "part int, batch string, shingles binary, repeats binary")
+    told = asked.groupBy("part").applyInArrow(count, "batch string, part int, levels binary")
+    return base.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(index, "doc_id long, n long, s1 long, s2 long, keys array<long>")
 
 
 def needed(rows: str, shingles: str) -> Column:
     return F.greatest(F.ceil(F.col(rows) / GROUP_ROWS), F.ceil(F.col(shingles) / GROUP_SHINGLES)).cast("int")
 
 
+class Groups:
+    """Sets to compare together: (gid, doc_id, side) tables made of postings: key, doc_id, n, hub, m (rows), size (shingles) of shared keys."""
+
+    def __init__(self, postings: DataFrame):
+        cluster = components(postings.select("hub", "doc_id"), "hub", "doc_id").withColumnRenamed("node", "doc_id")
+        placed = materialise(postings.join(cluster, "doc_id"), "ngram-placed")
+        each = materialise(placed.select("component", "doc_id", "n").distinct(), "ngram-each")
+        sizes = each.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+        sizes = sizes.withColumn("blocks", needed("rows", "shingles"))
+        by_key = placed.groupBy("component").agg(F.sum(F.when(F.col("m") <= SHORT_LIST, 1).otherwise(needed("m", "size"))).alias("sent"), F.count("*").alias("posts"))
+        # blocks meet the leaders, and what is left of them all blocks
+        sizes = sizes.join(by_key, "component").withColumn("whole", F.col("rows") * F.least("blocks", F.lit(3)) <= F.col("sent"))
+        sizes = materialise(sizes.select("component", "rows", "posts", "blocks", "whole"), "ngram-sizes")
+        blocked = spread_join(each, sizes.where("whole").select("component", "rows", "blocks"), ["component"], "rows", each.count())
+        #: component, doc_id, block and the number of blocks
+        self.blocked = materialise(blocked.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "ngram-blocked")
+        own = self.blocked.select(F.concat_ws("-", F.lit("c"), "component", "block").alias("gid"), "doc_id")
+        large = spread_join(placed, sizes.where("not whole").select("component", "posts"), ["component"], "posts", placed.count())
+        lists = large.where(F.col("m") <= SHORT_LIST).groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))  # SHORT_LIST at most
+        lists = lists.select("docs").distinct().select(F.concat(F.lit("l"), F.xxhash64("docs")).alias("gid"), F.explode("docs").alias("doc_id"))
+        long = large.where(F.col("m") > SHORT_LIST).select("key", "doc_id", needed("m", "size").alias("blocks"))
+        self.first = own.unionByName(lists).unionByName(paired(long, "b", "key")).withColumn("side", F.lit(1))
+        self.several = self.blocked.where("blocks > 1")
+
+    def with_leaders(self, found: DataFrame) -> DataFrame:
+        """Every block of a cluster of several, with the cluster's sets of most links.  found: (doc_id, links) of first comparisons."""
+        best = self.several.join(found, "doc_id").groupBy("component", "blocks", "block").agg(F.max_by(F.struct("doc_id", "links"), F.struct("links", -F.col("doc_id"))).alias("best"))
+        rank = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("best.links"), "best.doc_id"))
+        leaders = best.withColumn("r", rank).where(F.col("r") <= LEADERS).select("component", "blocks", F.col("best.doc_id").alias("doc_id"))
+        leaders = leaders.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "doc_id", F.lit(1).alias("side"))
+        both = self.several.select("component", "block", "doc_id", F.lit(0).alias("side")).unionByName(leaders)
+        both = both.groupBy("component", "block", "doc_id").agg(F.max("side").alias("side"))
+        return both.select(F.concat_ws("-", F.lit("s"), "component", "block").alias("gid"), "doc_id", "side")
+
+    def left_over(self, merged: DataFrame) -> DataFrame:
+        """Blocks of the sets outside the largest component of their cluster, each with all blocks.  merged: (node, label) so far."""
+        now = self.several.join(merged.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        now = materialise(now, "ngram-several")
+        sizes = now.groupBy("component", "label").agg(F.count("*").alias("k")).groupBy("component").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("top"), F.sum("k").alias("rows"))
+        now = spread_join(now, sizes, ["component"], "rows", now.count()).withColumn("side", (F.col("label") != F.col("top")).cast("int"))
+        now = materialise(now, "ngram-left")
+        outside = now.where("side = 1").groupBy("component").agg(F.countDistinct("block").alias("out"), F.array_sort(F.collect_set("block")).alias("outside"), F.max("blocks").alias("blocks"))
+        counts = now.groupBy("component").agg(F.count("*").alias("rows"))
+        now = spread_join(now.drop("blocks"), outside.join(counts, "component"), ["component"], "rows", now.count())
+        # a block's outside sets meet the outside sets of later blocks, and the inside ones of all
+        meets = F.filter("outside", lambda o: (F.col("side") == 0) | (o <= F.col("block")))
+        mine = now.select("component", "doc_id", "side", "block", F.explode(meets).alias("with"))
+        home = now.where("side = 1").select("component", "doc_id", "side", "block", "blocks").select("component", "doc_id", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("block").alias("with"))
+        both = mine.unionByName(home).groupBy("component", "block", "with", "doc_id").agg(F.max("side").alias("side"))
+        return both.select(F.concat_ws("-", F.lit("o"), "component", "block", "with").alias("gid"), "doc_id", "side")
+
+
 def paired(rows: DataFrame, prefix: str, key: str) -> DataFrame:
     """(gid, doc_id): each row in all pairs of its block with one of the `blocks` of its key."""
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -335,25 +375,47 @@ def paired(rows: DataFrame, prefix: str, key: str) -> DataFrame:
     return rows.select(F.concat_ws("-", F.lit(prefix), key, F.least("own", "other"), F.greatest("own", "other")).alias("gid"), "doc_id")
 
 
-def compare(source: DataFrame, grouped: DataFrame, n: int, similarity: int, scale: int) -> DataFrame:
-    """(a, b): each set's id and the smallest id of its component within a group."""
-
-    look = IdFilter(grouped.select("doc_id").distinct(), "doc_id").may_hold()
+def members_of(source: DataFrame, those: DataFrame, n: int) -> DataFrame:
+    """(doc_id, members) of the documents whose ids `those` holds, and of few others; texts aren't shuffled."""
+    look = IdFilter(those, "doc_id").may_hold()
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             b = b.filter(pa.array(look(np.asarray(b.column(2), dtype=np.int64))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets_of(b, n)], pa.binary())], ["doc_id", "members"])
 
+    return source.withColumn("h", F.xxhash64("doc_id")).mapInArrow(expand, "doc_id long, members binary")
+
+
+def compare(sets: DataFrame, grouped: DataFrame, similarity: int, scale: int) -> DataFrame:
+    """(a, b, links): each set's id, the smallest id of its component within a group, and its links there."""
+
     def meet(t: pa.Table) -> pa.Table:
         t = t.sort_by("doc_id")
-        sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in t.column("members")]
-        a, b = linked(np.asarray(t.column("doc_id"), dtype=np.int64), sets, similarity, scale)
-        return pa.table({"a": a[a != b], "b": b[a != b]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    # few texts pass the filter, so texts aren't shuffled; the join with groups is exact
-    sets = source.withColumn("h", F.xxhash64("doc_id")).mapInArrow(expand, "doc_id long, members binary")
-    return sets.join(grouped, "doc_id").select("gid", "doc_id", "members").groupBy("gid").applyInArrow(meet, "a long, b long").distinct()
+        members = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in t.column("members")]
+        a = np.asarray(t.column("doc_id"), dtype=np.int64)
+        b, links = linked(a, members, np.asarray(t.column("side"), dtype=np.int64), similarity, scale)
+        return pa.table({"a": a, "b": b, "links": links}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())]))
+
+    return sets.join(grouped, "doc_id").select("gid", "doc_id", "side", "members").groupBy("gid").applyInArrow(meet, "a long, b long, links long")
+
+
+def edges_within(source: DataFrame, postings: DataFrame, n: int, similarity: int, scale: int) -> DataFrame:
+    """(a, b): edges that join all sets linked over any chain."""
+    groups = Groups(postings)
+    first = materialise(groups.first.distinct(), "ngram-groups")
+    sets = materialise(members_of(source, first.select("doc_id").distinct(), n), "ngram-members")
+    found = materialise(compare(sets, first, similarity, scale), "ngram-found")
+    edges = found.where("a <> b").select("a", "b")
+    if groups.several.limit(1).count():
+        links = found.groupBy(F.col("a").alias("doc_id")).agg(F.max("links").alias("links"))
+        more = materialise(compare(sets, groups.with_leaders(links), similarity, scale).where("a <> b").select("a", "b"), "ngram-led")
+        edges = edges.unionByName(more)
+        merged = materialise(components(edges, "a", "b").withColumnRenamed("component", "label"), "ngram-merged")
+        rest = materialise(groups.left_over(merged), "ngram-rest")
+        if rest.limit(1).count():
+            edges = edges.unionByName(compare(sets, rest, similarity, scale).where("a <> b").select("a", "b"))
+    return edges.distinct()
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: int = SIMILARITY, scale: int = SCALE) -> DataFrame:
@@ -363,26 +425,29 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = materialise(keyed(source, words, similarity, scale), "ngram-base")
     real = base.select("doc_id", "n", "s1", "s2").where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = materialise(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "ngram-classes")
+    classes = materialise(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "ngram-classes")
+    n_real = real.count()
     indexed = base.where(F.col("doc_id").isNotNull() & (F.size("keys") > 0))
-    chosen = indexed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"])
+    chosen = indexed.join(classes.select("s1", "s2", F.col("rep").alias("doc_id")), ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"])
     band = F.floor(F.log("n") / float(1.0001 * np.log(scale / similarity))) if similarity < scale else F.col("n")
     posted = chosen.select("doc_id", "n", F.explode("keys").alias("key"), band.alias("band"))
     posted = posted.select("doc_id", "n", F.explode(F.array("band", F.col("band") + 1)).alias("level"), "key")
-    posted = posted.select("doc_id", "n", F.xxhash64("key", "level").alias("key"))
+    posted = materialise(posted.select("doc_id", "n", F.xxhash64("key", "level").alias("key")), "ngram-posted")
     shared = posted.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("hub"), F.sum("n").alias("size")).where("m > 1")
-    postings = materialise(posted.join(shared, "key"), "ngram-postings")
-    grouped = materialise(groups(postings), "ngram-groups")
-    edges = compare(source, grouped, words, similarity, scale)
+    postings = materialise(spread_join(posted, shared.withColumn("of", F.col("m")), ["key"], "of", posted.count()), "ngram-postings")
+    edges = edges_within(source, postings, words, similarity, scale)
     # a copy belongs to its class's representative; rows of one id in several classes tie these together
-    owned = real.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep").distinct()
+    owned = spread_join(real.select("doc_id", "s1", "s2"), classes, ["s1", "s2"], "copies", n_real).select("doc_id", "rep").distinct()
     split = owned.groupBy("doc_id").agg(F.min("rep").alias("low"), F.count("*").alias("k")).where("k > 1").select("doc_id", "low")
     ties = owned.join(split, "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     merged = materialise(components(edges.unionByName(ties), "a", "b"), "ngram-components")
-    lowest = owned.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    named = lowest.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    out = base.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "copies", F.coalesce("component", "rep").alias("component_id"))
+    named = materialise(named, "ngram-named")
+    out = spread_join(real, named, ["s1", "s2"], "copies", n_real).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # an empty text's row shares the component of its id's other rows
+    empty = base.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"))
+    empty = empty.join(out.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "doc_id", "left")
+    return out.unionByName(empty.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -91,14 +91,13 @@ def brute_join(rows, n, similarity):
     return {(i, len(s), label[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("full", [False, True])
-def test_ngram_join(spark, monkeypatch, full):
-    """Small limits send groups through every way of comparing; full: the table of counts doesn't tell."""
-    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 8)
+@pytest.mark.parametrize("rows", [8, 1024])
+def test_ngram_join(spark, monkeypatch, rows):
+    """Small limits send groups through every way of comparing."""
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", rows)
+    monkeypatch.setattr(ngram_join, "LEADERS", 2)
     monkeypatch.setattr(ngram_join, "SHORT_LIST", 3)
     monkeypatch.setattr(ngram_join, "FREQUENT", 4)
-    if full:
-        monkeypatch.setattr(ngram_join.Classes, "full", property(lambda self: True))
     rng = random.Random(5)
     base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.choice((4, 30, 80)))] for _ in range(6)]
     rows = []
