@@ -153,6 +153,15 @@ def test_mix_comes_near_targets(spark):
     assert mixing.sample(docs).count() == rows["copies"].sum()
 
 
+def test_mix_of_few_long_documents_comes_near_targets(spark):
+    """Sources of a handful of documents, of very unlike lengths: the rate after each whole copy makes up for it."""
+    rng = random.Random(7)
+    rows = [(1000 * s + i, "w " * (rng.choice((40, 60, 900, 2500)) if i else 4000), f"s{s:02d}") for s in range(12) for i in range(40)]
+    rows = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for _, g in rows.groupby("source_size"):
+        assert abs(g["taken"].sum() / g["target"].iloc[0] - 1) < 0.03 and (g["taken"] <= 2 * g["size"]).all()
+
+
 def test_shards_fit(spark):
     docs = spark.createDataFrame([(i, "x" * (i % 300)) for i in range(500)], "doc_id long, text string")
     rows = sharding.assign(docs, limit=2000).toPandas()
