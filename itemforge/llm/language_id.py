@@ -7,7 +7,8 @@ runner-up is close.  Up to five languages have the exhaustive code, more get a s
 large distance.
 
 Defined results: null texts and texts without a letter are `und` with score 0; rows without a
-language don't train; with no training row everything is `und`; with one language that is the answer;
+language don't train; of rows that share an id and a language the smallest text trains; where codewords
+are equally near, the first language by name wins; with no training row everything is `und`; with one language that is the answer;
 null ids stay null and repeated rows are predicted alike; an empty table gives no rows; other
 columns are never read.
 """
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import remainder
@@ -103,18 +104,13 @@ def fit(x: np.ndarray, langs: list[str]) -> Model | None:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Fit on at most `sample` documents outside the held-out fold, the smallest by hash of each language."""
     known = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull() & (remainder(F.col(doc_id), FOLDS) != HELD_OUT))
-    names = sorted(r[0] for r in known.select(F.col(lang).cast("string")).distinct().collect())  # the languages of the corpus
-    each = max(1, sample // max(1, len(names)))
-    keys = known.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id).alias("h"))
-    parts = [keys.where(F.col("lang") == v).orderBy("h", "id").limit(each) for v in names]
-    if not parts:
-        return None
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.union(p)
-    chosen = chosen.select("id", "lang").distinct()
-    texts = known.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    joined = texts.join(F.broadcast(chosen), "id")  # `sample` rows at most
+    each = max(1, sample // max(1, known.select(F.col(lang).cast("string")).distinct().count()))
+    keys = known.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id).alias("h")).distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    chosen = keys.withColumn("k", first).where(F.col("k") <= each).orderBy("k", "h", "lang", "id").limit(sample).select("id", "lang")
+    texts = known.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    joined = texts.join(F.broadcast(chosen), ["id", "lang"])  # `sample` rows at most
+    joined = joined.groupBy("id", "lang").agg(F.min("text").alias("text"))  # one text of a repeated id
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,7 +122,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     id_type = docs.schema[doc_id].dataType.simpleString()
     rows = joined.select("id", "lang", "text").mapInArrow(measure, f"id {id_type}, lang string, at array<smallint>, value array<float>")
-    rows = rows.toPandas().sort_values(["id", "lang"]).drop_duplicates(["id", "lang"])
+    rows = rows.toPandas().sort_values(["id", "lang"])
     x = np.zeros((len(rows), DIMENSIONS), dtype=np.float32)
     for i, (at, value) in enumerate(zip(rows["at"], rows["value"], strict=True)):
         x[i, np.asarray(at, dtype=np.int64)] = value

@@ -6,7 +6,8 @@ level, from histograms of at most 64 bins a feature, on a bounded sample of labe
 walks all trees at once.
 
 Defined results: null and empty texts are scored like any other from zero statistics; rows whose
-label is null don't train; without a training row every score is 0.5; null ids stay null; repeated
+label is null don't train; of rows that share an id and a label the smallest text trains; of splits of
+equal gain the first feature and the lowest bin win; without a training row every score is 0.5; null ids stay null; repeated
 rows score alike; an empty table gives no rows; other columns are never read.
 """
 
@@ -120,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chosen = chosen.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    joined = texts.join(F.broadcast(chosen), "id")  # `sample` rows at most
+    joined = texts.join(F.broadcast(chosen.distinct()), "id")  # `sample` rows at most
+    joined = joined.groupBy("id", "y").agg(F.min("text").alias("text"))  # one text of a repeated id
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
