@@ -7,7 +7,9 @@ links form connected components, found by distributed star steps.  A block decis
 a component reaches its undecided pages, unless some address there is explicitly allowed.  A page's
 own rule always stands.
 
-Addresses are compared without scheme and fragment, host in lower case.
+Addresses are compared without scheme, fragment and their scheme's usual port, host in lower case, and
+percent codes as written.  Links resolve against the page's <base>, where it has one; links inside comments
+don't count.
 
 Defined results: a null url or one without `://` has empty host and path, fits no rule and is allowed
 (it has no aliases); null html has no links; repeated pages are judged alike; null ids stay null; an
@@ -41,7 +43,9 @@ def path(url: Column) -> Column:
 def address(url: Column) -> Column:
     """Host, path and query; null without a host."""
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(host(url) != "", F.concat(host(url), F.when(rest == "", F.lit("/")).otherwise(rest)))
+    port = F.when(url.rlike("(?i)^http://"), F.lit(":80$")).when(url.rlike("(?i)^https://"), F.lit(":443$")).otherwise(F.lit("^$"))
+    short = F.regexp_replace(host(url), port, F.lit(""))
+    return F.when(short != "", F.concat(short, F.when(rest == "", F.lit("/")).when(F.startswith(rest, F.lit("?")), F.concat(F.lit("/"), rest)).otherwise(rest)))
 
 
 def ruled(df: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -78,15 +82,16 @@ def undotted(rest: Column) -> Column:
 
 
 def resolve(href: Column, base: Column) -> Column:
-    """The address that a link of the page at `base` means."""
+    """The url that a link means on a page at `base`."""
     h = F.trim(F.regexp_replace(href, "&amp;", "&"))
     own = F.when(path(base) == "", "/").otherwise(path(base))
     folder = F.regexp_extract(own, r"(?s)^(.*/)", 1)
-    at = lambda rest: F.concat(F.lit("http://"), host(base), rest)
+    scheme, site = F.regexp_extract(base, r"(?s)^(.*?:)//", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    at = lambda rest: F.concat(site, rest)
     far = F.regexp_extract(h, r"(?s)^(//[^/?#]*)", 1)
-    return address(
+    return (
         F.when(h.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), h)
-        .when(F.startswith(h, F.lit("//")), F.concat(F.lit("http:"), far, undotted(F.substr(h, F.length(far) + 1, F.length(h)))))
+        .when(F.startswith(h, F.lit("//")), F.concat(scheme, far, undotted(F.substr(h, F.length(far) + 1, F.length(h)))))
         .when(F.startswith(h, F.lit("/")), at(undotted(h)))
         .when((h == "") | F.startswith(h, F.lit("#")), base)
         .when(F.startswith(h, F.lit("?")), at(F.concat(own, h)))
@@ -96,8 +101,9 @@ def resolve(href: Column, base: Column) -> Column:
 
 def links(pages: DataFrame, url: str, html: str) -> DataFrame:
     """(a, b): addresses joined by a canonical link or a meta refresh of a page."""
-    body = F.when(F.col(html).rlike("(?i)canonical|refresh"), F.col(html))
+    body = F.when(F.col(html).rlike("(?i)canonical|refresh"), F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", ""))
     tags = F.regexp_extract_all(body, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    first_base = F.regexp_extract(body, r"(?is)<base\b[^>]*>", 0)
     quoted = lambda name, t: F.regexp_extract(t, rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
     value = lambda name, t: F.regexp_replace(F.regexp_replace(quoted(name, t), r"(?is)^[a-z-]+\s*=\s*", ""), r"""^["']|["']$""", "")
 
@@ -107,8 +113,9 @@ def links(pages: DataFrame, url: str, html: str) -> DataFrame:
         to = F.regexp_extract(value("content", t), r"""(?is)url\s*=\s*["']?([^"']*)""", 1)
         return F.when(canonical, F.nullif(value("href", t), F.lit(""))).when(refresh, F.nullif(to, F.lit("")))
 
-    found = pages.select(F.col(url).alias("u"), F.explode(F.transform(tags, target)).alias("h")).where("h is not null")
-    return found.select(address(F.col("u")).alias("a"), resolve(F.col("h"), F.col("u")).alias("b")).where("a is not null and b is not null")
+    found = pages.select(F.col(url).alias("u"), value("href", first_base).alias("base"), F.explode(F.transform(tags, target)).alias("h")).where("h is not null")
+    found = found.withColumn("on", F.when(F.col("base") == "", F.col("u")).otherwise(resolve(F.col("base"), F.col("u"))))
+    return found.select(address(F.col("u")).alias("a"), address(resolve(F.col("h"), F.col("on"))).alias("b")).where("a is not null and b is not null")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -143,14 +150,32 @@ def oracle() -> str:
     host_of = lambda u: f"translate(regexp_extract(coalesce({u}, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
     path_of = lambda u: f"regexp_extract(coalesce({u}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
     rest = lambda u: f"regexp_extract(coalesce({u}, ''), '(?s)^.*?://[^/?#]*([^#]*)', 1)"
-    addr = lambda u: f"case when {host_of(u)} <> '' then {host_of(u)} || case when {rest(u)} = '' then '/' else {rest(u)} end end"
+    port = lambda u: f"case when regexp_matches({u}, '(?i)^http://') then ':80$' when regexp_matches({u}, '(?i)^https://') then ':443$' else '^$' end"
+    short = lambda u: f"regexp_replace({host_of(u)}, {port(u)}, '')"
+    addr = lambda u: f"case when {short(u)} <> '' then {short(u)} || case when {rest(u)} = '' then '/' when starts_with({rest(u)}, '?') then '/' || {rest(u)} else {rest(u)} end end"
+    up = "list_reduce(list_prepend('', string_split(regexp_replace(e, '^/', ''), '/')), lambda acc, x: case when x = '.' then acc when x = '..' then regexp_replace(acc, '(?s)/[^/]*$', '') else acc || '/' || x end)"
+
+    def resolved(source: str, h: str, on: str, to: str) -> str:
+        """`source` with the url `to` that link `h` means on a page at `on`; null stays null."""
+        return f"""(select * exclude (hh, own, far, raw, pp, e, dots), case when {h} is null then null when regexp_matches(hh, '(?i)^[a-z][a-z0-9+.-]*://') then hh
+    when hh = '' or starts_with(hh, '#') then {on} when starts_with(hh, '?') then regexp_extract({on}, '(?s)^(.*?://[^/?#]*)', 1) || own || hh
+    else case when far <> '' then regexp_extract({on}, '(?s)^(.*?:)//', 1) || far else regexp_extract({on}, '(?s)^(.*?://[^/?#]*)', 1) end
+      || case when dots then case when {up} = '' then '/' else {up} end || substr(raw, length(pp) + 1) else raw end end as {to}
+  from (select *, regexp_matches(pp, '(^|/)\\.\\.?(/|$)') as dots, case when regexp_matches(pp, '/\\.\\.?$') then pp || '/' else pp end as e
+  from (select *, regexp_extract(raw, '(?s)^([^?#]*)', 1) as pp
+  from (select *, case when far <> '' then substr(hh, length(far) + 1) when starts_with(hh, '/') then hh else regexp_extract(own, '(?s)^(.*/)', 1) || hh end as raw
+  from (select *, coalesce(trim(replace({h}, '&amp;', '&')), '') as hh, case when {path_of(on)} = '' then '/' else {path_of(on)} end as own,
+    regexp_extract(trim(replace({h}, '&amp;', '&')), '(?s)^(//[^/?#]*)', 1) as far from {source})))))"""
+
     return f"""
 with recursive rules(verdict, host, path) as (values {rules}),
-tags as (select url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) as t from pages),
-raw as (select url, case when regexp_matches(t, '(?i)^<link') and regexp_matches({value("rel")}, '(?i)(^|\\s)canonical(\\s|$)') then nullif({value("href")}, '')
+body as (select url, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') as html from pages),
+tags as (select url, regexp_extract(html, '(?is)<base\\b[^>]*>', 0) as bt, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) as t from body),
+raw as (select url, nullif({value("href").replace("(t,", "(bt,")}, '') as bh, case when regexp_matches(t, '(?i)^<link') and regexp_matches({value("rel")}, '(?i)(^|\\s)canonical(\\s|$)') then nullif({value("href")}, '')
   when regexp_matches(t, '(?i)^<meta') and regexp_matches({value("http-equiv")}, '(?i)^\\s*refresh\\s*$')
   then nullif(regexp_extract({value("content")}, '(?is)url\\s*=\\s*["'']?([^"'']*)', 1), '') end as h from tags),
-edges as (select {addr("url")} as a, {addr("h")} as b from raw where contains(h, '://')),
+based as (select url, h, coalesce(bu, url) as page from {resolved("raw", "bh", "url", "bu")} where h is not null),
+edges as (select {addr("url")} as a, {addr("target")} as b from {resolved("based", "h", "page", "target")}),
 both_ways as (select a, b from edges where a is not null and b is not null union select b, a from edges where a is not null and b is not null),
 reach(a, b) as (select a, b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a),
 nodes as (select distinct a as node, {host_of("'x://' || a")} as host, {path_of("'x://' || a")} as path from both_ways),
