@@ -100,6 +100,8 @@ class Index:
 
     def radius(self, ranks: np.ndarray) -> int:
         """The closeness that a `share` of the sample reaches."""
+        if not len(self.sample):
+            return 0
         near = self.closeness(ranks, self.sample)
         k = min(len(near), max(1, int(np.ceil(self.share * len(near)))))
         return int(np.partition(near, len(near) - k)[len(near) - k])
