@@ -2,8 +2,8 @@
 
 Each stage gets all rows that its predecessor kept; run() writes every stage's result as Parquet to
 the shared folder and reads it again, so no stage is computed twice and a lost executor costs one
-stage's tasks.  All stages but the last return the columns of documents; the last returns one row a
-piece of a packed sequence.  Null and empty texts fail the quality rules and end there; every stage
+stage's tasks; what a stage read or left behind is deleted once its result is written.  All stages but the
+last return the columns of documents; the last returns one row a piece of a packed sequence, with its ids.  Null and empty texts fail the quality rules and end there; every stage
 keeps its operator's defined results for ties, repeated rows, empty tables and further columns.
 """
 
@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from itemforge.llm import mixing, ngram_join, packing, pii, quality_rules
-from itemforge.llm.common import shared_dir, ship
+from itemforge.llm.common import MADE, discard, shared_dir, ship
 from itemforge.llm.queries import key_of
 
 #: Near-duplicate documents: shingles of five words, similarity of 0.8.
@@ -46,7 +46,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents, packed into sequences."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -61,10 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path, before = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}", len(MADE)
         out = stage(spark, docs, sf_dir)
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        discard(spark, old + MADE[before:])
+        del MADE[before:]
+        old = [path]
     return docs
