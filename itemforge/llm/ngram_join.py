@@ -50,7 +50,7 @@ WORDS, SIMILARITY, SCALE = 3, 90, 100
 #: A shingle in so many documents is frequent.
 FREQUENT = 32
 #: Rows and shingles that one task compares; keys of so few rows are compared whole within large clusters; sets of most links that a large cluster tries.
-GROUP_ROWS, GROUP_SHINGLES, SHORT_LIST, LEADERS = 1024, 2_000_000, 64, 64
+GROUP_ROWS, GROUP_SHINGLES, SHORT_LIST, LEADERS = 1024, 1_000_000, 64, 64
 #: Shingles that one counting task holds, bytes hashed at once, and of a slice of a batch.
 COUNTED, CHUNK, SLICE = 4_000_000, 1 << 20, 8 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -179,31 +179,36 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, similarit
     """(smallest id of its component, links) of each of the given sets; ids ascend.  Pairs whose sides are both 0 aren't compared."""
     m, first = len(sets), np.flatnonzero(sides)
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    row = np.repeat(np.arange(m), size)
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    row, column = row[shared], column[shared]
-    both = np.zeros((len(first), m), dtype=np.float64)
-    if len(column):
-        by = np.argsort(column, kind="stable")
-        row, column = row[by], column[by]
-        column = np.cumsum(np.r_[0, np.diff(column) > 0])
-        step = max(1, 4_000_000 // m)
-        for start in range(0, int(column[-1]) + 1, step):
-            at = slice(*np.searchsorted(column, [start, start + step]))
-            part = np.zeros((m, step), dtype=np.float32)
-            part[row[at], column[at] - start] = 1
-            both += part[first] @ part.T
-    near = scale * both >= similarity * (size[first, None] + size[None, :] - both)
-    near &= (size[first, None] > 0) & (size[None, :] > 0)
-    near |= ids[first, None] == ids[None, :]
+    every = np.concatenate(sets)
+    every.sort()
+    names = np.unique(every[1:][every[1:] == every[:-1]])  # members of two sets or more
+    del every
+    row, column = [], []
+    for i, s in enumerate(sets):
+        at = np.searchsorted(names, s)
+        at = at[at < len(names)][names[at[at < len(names)]] == s[at < len(names)]].astype(np.int32)
+        row.append(np.full(len(at), i, dtype=np.int32)), column.append(at)
+    row, column = np.concatenate(row), np.concatenate(column)
+    both = np.zeros((len(first), m), dtype=np.float32 if size.max(initial=0) < 1 << 24 else np.float64)  # exact either way
+    step = max(1, 2_000_000 // m)
+    for start in range(0, len(names), step):
+        at = (column >= start) & (column < start + step)
+        part = np.zeros((m, step), dtype=np.float32)
+        part[row[at], column[at] - start] = 1
+        both += part[first] @ part.T
+    del row, column
+    near = np.zeros(both.shape, dtype=bool)
+    for k, i in enumerate(first):
+        shared = both[k].astype(np.int64)
+        near[k] = (scale * shared >= similarity * (size[i] + size - shared)) & (size[i] > 0) & (size > 0) | (ids == ids[i])
     links = np.zeros(m, dtype=np.int64)
     links[first] = near.sum(axis=1) - 1
-    label = np.arange(m)
+    label = np.arange(m, dtype=np.int32)
+    top = np.int32(m)
     while True:
         lower = label.copy()
-        lower[first] = np.minimum(lower[first], np.where(near, label[None, :], m).min(axis=1, initial=m))
-        lower = np.minimum(lower, np.where(near, lower[first, None], m).min(axis=0, initial=m))
+        lower[first] = np.minimum(lower[first], np.where(near, label[None, :], top).min(axis=1, initial=m))
+        lower = np.minimum(lower, np.where(near, lower[first, None], top).min(axis=0, initial=m))
         lower = np.minimum(lower, lower[lower])
         if (lower == label).all():
             return ids[label], links
@@ -326,8 +331,8 @@ class Groups:
         sizes = each.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
         sizes = sizes.withColumn("blocks", needed("rows", "shingles"))
         by_key = placed.groupBy("component").agg(F.sum(F.when(F.col("m") <= SHORT_LIST, 1).otherwise(needed("m", "size"))).alias("sent"), F.count("*").alias("posts"))
-        # blocks meet the leaders, and what is left of them all blocks
-        sizes = sizes.join(by_key, "component").withColumn("whole", F.col("rows") * F.least("blocks", F.lit(3)) <= F.col("sent"))
+        # at worst, where leaders join nothing, a set meets all blocks
+        sizes = sizes.join(by_key, "component").withColumn("whole", F.col("rows") * F.col("blocks") <= F.col("sent"))
         sizes = materialise(sizes.select("component", "rows", "posts", "blocks", "whole"), "ngram-sizes")
         blocked = spread_join(each, sizes.where("whole").select("component", "rows", "blocks"), ["component"], "rows", each.count())
         #: component, doc_id, block and the number of blocks
