@@ -47,12 +47,15 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it again: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write `df` once to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    compression: "none" for tables of hashes, which no codec makes smaller; codecs hold a page outside the heap.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     MADE.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

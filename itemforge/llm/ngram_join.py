@@ -52,7 +52,7 @@ FREQUENT = 32
 #: Rows and shingles that one task compares; keys of so few rows are compared whole within large clusters; sets of most links that a large cluster tries.
 GROUP_ROWS, GROUP_SHINGLES, SHORT_LIST, LEADERS = 1024, 1_000_000, 64, 64
 #: Shingles that one counting task holds, bytes hashed at once, and of a slice of a batch.
-COUNTED, CHUNK, SLICE = 4_000_000, 1 << 20, 8 << 20
+COUNTED, CHUNK, SLICE = 4_000_000, 1 << 20, 4 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -254,7 +254,7 @@ def keyed(source: DataFrame, n: int, similarity: int, scale: int) -> DataFrame:
     limit = np.uint64(min(2**64 - 1, int(2**64 * 1.25 * (away + away * scale / similarity))))
     total = (source.agg(F.sum(F.length("text"))).first()[0] or 0) // 6
     bits = min(20, max(4, (total // COUNTED).bit_length()))
-    base = materialise(indexed(source, n, limit, similarity, scale), "ngram-batches")
+    base = materialise(indexed(source, n, limit, similarity, scale), "ngram-batches", "none")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -409,7 +409,7 @@ def edges_within(source: DataFrame, postings: DataFrame, n: int, similarity: int
     """(a, b): edges that join all sets linked over any chain."""
     groups = Groups(postings)
     first = materialise(groups.first.distinct(), "ngram-groups")
-    sets = materialise(members_of(source, first.select("doc_id").distinct(), n), "ngram-members")
+    sets = materialise(members_of(source, first.select("doc_id").distinct(), n), "ngram-members", "none")
     found = materialise(compare(sets, first, similarity, scale), "ngram-found")
     edges = found.where("a <> b").select("a", "b")
     if groups.several.limit(1).count():
@@ -428,7 +428,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     if 10 * similarity < 7 * scale or similarity > scale:
         raise ValueError("the prefixes need a similarity from 0.7 to 1")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = materialise(keyed(source, words, similarity, scale), "ngram-base")
+    base = materialise(keyed(source, words, similarity, scale), "ngram-base", "none")
     real = base.select("doc_id", "n", "s1", "s2").where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialise(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "ngram-classes")
     n_real = real.count()
@@ -437,9 +437,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     band = F.floor(F.log("n") / float(1.0001 * np.log(scale / similarity))) if similarity < scale else F.col("n")
     posted = chosen.select("doc_id", "n", F.explode("keys").alias("key"), band.alias("band"))
     posted = posted.select("doc_id", "n", F.explode(F.array("band", F.col("band") + 1)).alias("level"), "key")
-    posted = materialise(posted.select("doc_id", "n", F.xxhash64("key", "level").alias("key")), "ngram-posted")
+    posted = materialise(posted.select("doc_id", "n", F.xxhash64("key", "level").alias("key")), "ngram-posted", "none")
     shared = posted.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("hub"), F.sum("n").alias("size")).where("m > 1")
-    postings = materialise(spread_join(posted, shared.withColumn("of", F.col("m")), ["key"], "of", posted.count()), "ngram-postings")
+    postings = materialise(spread_join(posted, shared.withColumn("of", F.col("m")), ["key"], "of", posted.count()), "ngram-postings", "none")
     edges = edges_within(source, postings, words, similarity, scale)
     # a copy belongs to its class's representative; rows of one id in several classes tie these together
     owned = spread_join(real.select("doc_id", "s1", "s2"), classes, ["s1", "s2"], "copies", n_real).select("doc_id", "rep").distinct()
