@@ -21,7 +21,7 @@ Either way a linked pair shares a key, so nothing is lost, and no set has more t
 linked sets differ by the similarity's ratio at most, so a key counts within two neighbouring bands of
 sizes only.  Sets that share keys form clusters (components over key hubs).  A cluster is compared in
 one task.  A larger one is cut in bounded blocks, or, where that sends fewer rows, in the lists of sets
-under its keys, long lists again in blocks.  Blocks are compared each by itself first, then all with the
+under its keys, those of one hub together, long lists again in blocks.  Blocks are compared each by itself first, then all with the
 sets of most links; what those join needs no more comparing with each other, so only sets outside the
 largest component so far meet all blocks.  Tasks compare by products of membership matrices and return each
 set's smallest linked id, never pairs.
@@ -44,13 +44,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IdFilter, components, materialise, spread_join
+from .common import MADE, IdFilter, components, discard, materialise, spread_join
 
 WORDS, SIMILARITY, SCALE = 3, 90, 100
-#: A shingle in so many documents is frequent.
-FREQUENT = 32
-#: Rows and shingles that one task compares; keys of so few rows are compared whole within large clusters; sets of most links that a large cluster tries.
-GROUP_ROWS, GROUP_SHINGLES, SHORT_LIST, LEADERS = 1024, 1_000_000, 64, 64
+#: A shingle in so many documents is frequent; the part of all shingles that is counted beyond the longest prefix, so
+#: that prefixes hold few frequent ones.
+FREQUENT, BEYOND = 32, 0.2
+#: Rows and shingles that one task compares; keys of so few rows go by their hub within large clusters; sets of most links that a large cluster tries.
+GROUP_ROWS, GROUP_SHINGLES, SHORT_LIST, LEADERS = 1024, 2_000_000, 64, 64
 #: Shingles that one counting task holds, bytes hashed at once, and of a slice of a batch.
 COUNTED, CHUNK, SLICE = 4_000_000, 1 << 20, 4 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -228,7 +229,7 @@ def indexed(source: DataFrame, n: int, limit: np.uint64, similarity: int, scale:
                 counted.append(s[:k]), rest.append(s[k : k + max(0, sum(allowances(len(s), similarity, scale)) + 2 - k)])
             if size:
                 longs = lambda xs: pa.array([np.array(xs, dtype=np.int64)], pa.list_(pa.int64()))
-                whole = lambda xs: pa.array([np.concatenate(xs).tobytes()], pa.binary())
+                whole = lambda xs: pa.array([packed(short(np.concatenate(xs))).tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([uuid.uuid4().hex]), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), longs(size), longs(high), longs(low),
                      longs([len(x) for x in counted]), whole(counted), longs([len(x) for x in rest]), whole(rest)],
@@ -239,10 +240,24 @@ def indexed(source: DataFrame, n: int, limit: np.uint64, similarity: int, scale:
 
 
 def short(members: np.ndarray) -> np.ndarray:
-    """48-bit prefixes, by which shingles are counted; where two agree, both seem more frequent."""
+    """48-bit prefixes, by which shingles are counted, ordered and keyed.
+
+    Where two agree both count as one that occurs twice: overlaps and candidates only grow.
+    """
     return members >> np.uint64(16)
 
 
+def packed(prefixes: np.ndarray) -> np.ndarray:
+    """Rows of six bytes."""
+    return np.ascontiguousarray(prefixes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    raw[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return raw.view("<u8").ravel()
+
+
 def edges_of(prefixes: np.ndarray, bits: int) -> np.ndarray:
     """Where the parts of the dictionary begin and end among sorted prefixes."""
     return np.r_[0, np.searchsorted(prefixes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(48 - bits)), len(prefixes)]
@@ -251,7 +266,7 @@ def edges_of(prefixes: np.ndarray, bits: int) -> np.ndarray:
 def keyed(source: DataFrame, n: int, similarity: int, scale: int) -> DataFrame:
     """(doc_id, n, s1, s2, keys): size, 128-bit signature and keys of each row's set."""
     away = (scale - similarity) / scale
-    limit = np.uint64(min(2**64 - 1, int(2**64 * 1.25 * (away + away * scale / similarity))))
+    limit = np.uint64(min(2**64 - 1, int(2**64 * (away + away * scale / similarity + BEYOND))))
     total = (source.agg(F.sum(F.length("text"))).first()[0] or 0) // 6
     bits = min(20, max(4, (total // COUNTED).bit_length()))
     base = materialise(indexed(source, n, limit, similarity, scale), "ngram-batches", "none")
@@ -259,9 +274,9 @@ def keyed(source: DataFrame, n: int, similarity: int, scale: int) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for batch, counted in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                value, count = np.unique(short(np.frombuffer(counted.as_buffer(), dtype="<u8")), return_counts=True)
+                value, count = np.unique(unpacked(counted.as_py()), return_counts=True)
                 edge, more = edges_of(value, bits), np.flatnonzero(count > 1)
-                six = np.ascontiguousarray(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+                six = packed(value)
                 repeats = np.stack([more, count[more]], axis=1).astype("<u4") if len(more) else np.zeros((0, 2), dtype="<u4")
                 at = np.searchsorted(more, edge)
                 parts = [p for p in range(1 << bits) if edge[p + 1] > edge[p]]
@@ -276,12 +291,10 @@ def keyed(source: DataFrame, n: int, similarity: int, scale: int) -> DataFrame:
     def count(t: pa.Table) -> pa.Table:
         sizes, values, times = [], [], []
         for s, r in zip(t.column("shingles").to_pylist(), t.column("repeats").to_pylist(), strict=True):
-            raw = np.zeros((len(s) // 6, 8), dtype=np.uint8)
-            raw[:, :6] = np.frombuffer(s, dtype=np.uint8).reshape(-1, 6)
-            each = np.ones(len(raw), dtype=np.int64)
+            each = np.ones(len(s) // 6, dtype=np.int64)
             pairs = np.frombuffer(r, dtype="<u4").reshape(-1, 2)
             each[pairs[:, 0]] = pairs[:, 1]
-            sizes.append(len(raw)), values.append(raw.view("<u8").ravel()), times.append(each)
+            sizes.append(len(each)), values.append(unpacked(s)), times.append(each)
         _, at = np.unique(np.concatenate(values), return_inverse=True)
         level = levels_of(np.bincount(at, weights=np.concatenate(times)))[at]
         ends = np.cumsum([0, *sizes])
@@ -297,8 +310,8 @@ def keyed(source: DataFrame, n: int, similarity: int, scale: int) -> DataFrame:
         out = [[], [], [], [], []]
         answers = dict(zip(told.column("part").to_pylist(), told.column("levels").to_pylist(), strict=True))
         for r in docs.to_pylist():
-            counted, rest = np.frombuffer(r["counted"], dtype="<u8"), np.frombuffer(r["rest"], dtype="<u8")
-            value, at = np.unique(short(counted), return_inverse=True)
+            counted, rest = unpacked(r["counted"]), unpacked(r["rest"])
+            value, at = np.unique(counted, return_inverse=True)
             level, edge = np.zeros(len(value), dtype=np.uint8), edges_of(value, bits)
             for part, found in answers.items():
                 level[edge[part] : edge[part + 1]] = np.frombuffer(found, dtype=np.uint8)
@@ -317,6 +330,11 @@ def keyed(source: DataFrame, n: int, similarity: int, scale: int) -> DataFrame:
     return base.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(index, "doc_id long, n long, s1 long, s2 long, keys array<long>")
 
 
+def needed_sums() -> Column:
+    """Blocks of rows with sizes n."""
+    return F.greatest(F.ceil(F.count("*") / GROUP_ROWS), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int")
+
+
 def needed(rows: str, shingles: str) -> Column:
     return F.greatest(F.ceil(F.col(rows) / GROUP_ROWS), F.ceil(F.col(shingles) / GROUP_SHINGLES)).cast("int")
 
@@ -330,17 +348,22 @@ class Groups:
         each = materialise(placed.select("component", "doc_id", "n").distinct(), "ngram-each")
         sizes = each.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
         sizes = sizes.withColumn("blocks", needed("rows", "shingles"))
-        by_key = placed.groupBy("component").agg(F.sum(F.when(F.col("m") <= SHORT_LIST, 1).otherwise(needed("m", "size"))).alias("sent"), F.count("*").alias("posts"))
+        # the lists of one hub go together, so sets that share many keys meet once
+        hubs = materialise(placed.where(F.col("m") <= SHORT_LIST).select("component", "hub", "doc_id", "n").distinct(), "ngram-hubs")
+        near = hubs.groupBy("component").agg(F.count("*").alias("near"))
+        far = placed.groupBy("component").agg(F.sum(F.when(F.col("m") > SHORT_LIST, needed("m", "size"))).alias("far"), F.count("*").alias("posts"))
+        by_key = far.join(near, "component", "left").withColumn("sent", F.coalesce("near", F.lit(0)) + F.coalesce("far", F.lit(0)))
         # at worst, where leaders join nothing, a set meets all blocks
         sizes = sizes.join(by_key, "component").withColumn("whole", F.col("rows") * F.col("blocks") <= F.col("sent"))
-        sizes = materialise(sizes.select("component", "rows", "posts", "blocks", "whole"), "ngram-sizes")
+        sizes = materialise(sizes.select("component", "rows", "posts", "near", "blocks", "whole"), "ngram-sizes")
         blocked = spread_join(each, sizes.where("whole").select("component", "rows", "blocks"), ["component"], "rows", each.count())
         #: component, doc_id, block and the number of blocks
         self.blocked = materialise(blocked.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "ngram-blocked")
         own = self.blocked.select(F.concat_ws("-", F.lit("c"), "component", "block").alias("gid"), "doc_id")
         large = spread_join(placed, sizes.where("not whole").select("component", "posts"), ["component"], "posts", placed.count())
-        lists = large.where(F.col("m") <= SHORT_LIST).groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("docs"))  # SHORT_LIST at most
-        lists = lists.select("docs").distinct().select(F.concat(F.lit("l"), F.xxhash64("docs")).alias("gid"), F.explode("docs").alias("doc_id"))
+        some = spread_join(hubs, sizes.where("not whole and near is not null").select("component", "near"), ["component"], "near", hubs.count())
+        by_hub = some.groupBy("hub").agg(needed_sums().alias("blocks"))
+        lists = paired(some.join(by_hub, "hub").select("hub", "doc_id", "blocks"), "l", "hub")
         long = large.where(F.col("m") > SHORT_LIST).select("key", "doc_id", needed("m", "size").alias("blocks"))
         self.first = own.unionByName(lists).unionByName(paired(long, "b", "key")).withColumn("side", F.lit(1))
         self.several = self.blocked.where("blocks > 1")
@@ -428,7 +451,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     if 10 * similarity < 7 * scale or similarity > scale:
         raise ValueError("the prefixes need a similarity from 0.7 to 1")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    made = len(MADE)
     base = materialise(keyed(source, words, similarity, scale), "ngram-base", "none")
+    discard(docs.sparkSession, MADE[made:-1])
     real = base.select("doc_id", "n", "s1", "s2").where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = materialise(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "ngram-classes")
     n_real = real.count()
@@ -440,6 +465,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     posted = materialise(posted.select("doc_id", "n", F.xxhash64("key", "level").alias("key")), "ngram-posted", "none")
     shared = posted.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("hub"), F.sum("n").alias("size")).where("m > 1")
     postings = materialise(spread_join(posted, shared.withColumn("of", F.col("m")), ["key"], "of", posted.count()), "ngram-postings", "none")
+    discard(docs.sparkSession, MADE[-2:-1])  # what was posted
     edges = edges_within(source, postings, words, similarity, scale)
     # a copy belongs to its class's representative; rows of one id in several classes tie these together
     owned = spread_join(real.select("doc_id", "s1", "s2"), classes, ["s1", "s2"], "copies", n_real).select("doc_id", "rep").distinct()
