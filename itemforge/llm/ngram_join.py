@@ -49,7 +49,7 @@ from .common import MADE, IdFilter, components, discard, materialise, spread_joi
 WORDS, SIMILARITY, SCALE = 3, 90, 100
 #: A shingle in so many documents is frequent; the part of all shingles that is counted beyond the longest prefix, so
 #: that prefixes hold few frequent ones.
-FREQUENT, BEYOND = 32, 0.2
+FREQUENT, BEYOND = 32, 0.12
 #: Rows and shingles that one task compares; keys of so few rows go by their hub within large clusters; sets of most links that a large cluster tries.
 GROUP_ROWS, GROUP_SHINGLES, SHORT_LIST, LEADERS = 1024, 2_000_000, 64, 64
 #: Shingles that one counting task holds, bytes hashed at once, and of a slice of a batch.
