@@ -53,7 +53,7 @@ FREQUENT, BEYOND = 32, 0.12
 #: Rows and shingles that one task compares; keys of so few rows go by their hub within large clusters; sets of most links that a large cluster tries.
 GROUP_ROWS, GROUP_SHINGLES, SHORT_LIST, LEADERS = 1024, 2_000_000, 64, 64
 #: Shingles that one counting task holds, bytes hashed at once, and of a slice of a batch.
-COUNTED, CHUNK, SLICE = 4_000_000, 1 << 20, 4 << 20
+COUNTED, CHUNK, SLICE = 2_000_000, 1 << 20, 4 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -289,15 +289,23 @@ def keyed(source: DataFrame, n: int, similarity: int, scale: int) -> DataFrame:
                 })
 
     def count(t: pa.Table) -> pa.Table:
-        sizes, values, times = [], [], []
-        for s, r in zip(t.column("shingles").to_pylist(), t.column("repeats").to_pylist(), strict=True):
-            each = np.ones(len(s) // 6, dtype=np.int64)
-            pairs = np.frombuffer(r, dtype="<u4").reshape(-1, 2)
+        values, times = [], []
+        for s, r in zip(t.column("shingles"), t.column("repeats"), strict=True):
+            values.append(unpacked(s.as_buffer()))
+            each = np.ones(len(values[-1]), dtype="<u4")
+            pairs = np.frombuffer(r.as_buffer(), dtype="<u4").reshape(-1, 2)
             each[pairs[:, 0]] = pairs[:, 1]
-            sizes.append(len(each)), values.append(unpacked(s)), times.append(each)
-        _, at = np.unique(np.concatenate(values), return_inverse=True)
-        level = levels_of(np.bincount(at, weights=np.concatenate(times)))[at]
-        ends = np.cumsum([0, *sizes])
+            times.append(each)
+        ends = np.cumsum([0, *map(len, values)])
+        every, times = np.concatenate(values), np.concatenate(times)
+        del values
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+        lengths = np.diff(np.r_[first, len(every)])
+        del every
+        level = np.empty(len(order), dtype=np.uint8)
+        level[order] = np.repeat(levels_of(np.add.reduceat(times[order].astype(np.int64), first)), lengths)
         told = [level[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         some = [i for i, x in enumerate(told) if x.any()]  # without an answer all are unique
         return pa.table({
