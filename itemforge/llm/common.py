@@ -14,7 +14,6 @@ import zipfile
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,8 +107,8 @@ def hex_number(value: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(value, start, digits), 16, 10).cast("long")
 
 
-#: A key that holds a larger part of a table's rows than one in so many is hot; there are fewer of them than this.
-HOT = 1024
+#: A key is hot where it holds a larger part of a table's rows than one in so many (there are fewer than this of them), and so many rows.
+HOT, HOT_ROWS = 1024, 10_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
@@ -117,7 +116,10 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total:
 
     Rows of hot keys stay where they are and meet a broadcast table of fewer than HOT keys; `n` isn't returned.
     """
-    hot = F.col(n) * HOT > F.lit(total)
+    most = right.agg(F.max(n)).first()[0] or 0
+    if most < HOT_ROWS or most * HOT <= total:
+        return left.join(right.drop(n), on)
+    hot = F.col(n) > max(HOT_ROWS - 1, total // HOT)
     heavy = F.broadcast(right.where(hot).drop(n))
     rest = left.join(F.broadcast(right.where(hot).select(*on)), on, "left_anti").join(right.where(~hot).drop(n), on)
     return left.join(heavy, on).unionByName(rest)
@@ -190,6 +192,8 @@ class IdFilter:
 
     def column(self, doc_id: Column) -> Column:
         """Whether an id may be among those of the filter."""
+        import pandas as pd  # not for the workers that only take Arrow
+
         look = self.may_hold()
 
         def test(h: pd.Series) -> pd.Series:

@@ -472,8 +472,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     posted = posted.select("doc_id", "n", F.explode(F.array("band", F.col("band") + 1)).alias("level"), "key")
     posted = materialise(posted.select("doc_id", "n", F.xxhash64("key", "level").alias("key")), "ngram-posted", "none")
     shared = posted.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("hub"), F.sum("n").alias("size")).where("m > 1")
+    shared = materialise(shared, "ngram-shared", "none")
     postings = materialise(spread_join(posted, shared.withColumn("of", F.col("m")), ["key"], "of", posted.count()), "ngram-postings", "none")
-    discard(docs.sparkSession, MADE[-2:-1])  # what was posted
+    discard(docs.sparkSession, MADE[-3:-1])  # what was posted, and its lists
     edges = edges_within(source, postings, words, similarity, scale)
     # a copy belongs to its class's representative; rows of one id in several classes tie these together
     owned = spread_join(real.select("doc_id", "s1", "s2"), classes, ["s1", "s2"], "copies", n_real).select("doc_id", "rep").distinct()

@@ -59,6 +59,11 @@ class Encoder:
         self._plain = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
         self._other = re.compile(r"[^\x00-ɏ]|<\|endoftext\|>").search
 
+    @property
+    def width(self) -> str:
+        """Of ids as bytes: little-endian, two bytes where all ids fit."""
+        return "<u2" if self._plain.get_vocab_size() <= 1 << 16 else "<u4"
+
     @classmethod
     def of(cls, vocabulary: str) -> Encoder:
         if vocabulary not in cls._made:
@@ -84,6 +89,7 @@ def pieces(docs: DataFrame, doc_id: str, text: str, capacity: int, vocabulary: s
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.of(vocabulary)
+        width = encode.width
         for batch in batches:
             owner, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, t in enumerate(batch.column(1).to_pylist()):
@@ -93,17 +99,17 @@ def pieces(docs: DataFrame, doc_id: str, text: str, capacity: int, vocabulary: s
                     owner.append(row), piece.append(k), start.append(s), length.append(n)
                     crc.append(zlib.crc32(part.tobytes()))
                     if with_ids:
-                        ids.append(part.astype("i4"))
+                        ids.append(part.astype(width).tobytes())
             out = {
                 "doc_id": batch.column(0).take(pa.array(owner, pa.int64())),
                 "piece": pa.array(piece, pa.int32()),
                 "start": pa.array(start, pa.int64()),
                 "length": pa.array(length, pa.int64()),
                 "ids_crc32": pa.array(crc, pa.int64()),
-            } | ({"ids": pa.array(ids, pa.list_(pa.int32()))} if with_ids else {})
+            } | ({"ids": pa.array(ids, pa.binary())} if with_ids else {})
             yield pa.RecordBatch.from_pydict(out)
 
-    return source.mapInArrow(cut, PIECES.format(id=id_type) + (", ids array<int>" if with_ids else ""))
+    return source.mapInArrow(cut, PIECES.format(id=id_type) + (", ids binary" if with_ids else ""))
 
 
 class Lengths:
@@ -256,7 +262,7 @@ def places(packed: list[tuple[list[tuple[int, int]], int]]) -> dict[int, list[tu
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset), one row a piece."""
+    """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset), one row a piece; ids as bytes of Encoder.width."""
     spark = docs.sparkSession
     cut = materialise(pieces(docs, doc_id, text, capacity, vocabulary, with_ids), "pack-pieces")
     name = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("piece"))
@@ -282,6 +288,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
 
 
 def write_sequences(docs: DataFrame, path: str, **options) -> None:
-    """Write (sequence_id, ids): a sequence's pieces in order of their offsets, `capacity` ids at most."""
+    """Write (sequence_id, ids): a sequence's pieces in order of their offsets, `capacity` ids at most, as bytes of Encoder.width."""
     packed = pack(docs, with_ids=True, **options).groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))
-    packed.select("sequence_id", F.flatten(F.col("p.ids")).alias("ids")).write.parquet(path)
+    joined = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
+    packed.select("sequence_id", joined.alias("ids")).write.parquet(path)

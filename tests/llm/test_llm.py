@@ -182,8 +182,8 @@ def test_packing_round_trip(spark):
     out, encode = packing.pack(docs, capacity=128, with_ids=True).collect(), packing.Encoder.of(packing.VOCABULARY)
     for i, t in rows:
         mine = sorted((r for r in out if r["doc_id"] == i), key=lambda r: r["piece"])
-        assert [x for r in mine for x in r["ids"]] == [*encode.plain(t), 0]
-        assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in mine)
+        assert np.frombuffer(b"".join(r["ids"] for r in mine), encode.width).tolist() == [*encode.plain(t), 0]
+        assert all(r["ids_crc32"] == zlib.crc32(np.frombuffer(r["ids"], encode.width).astype("<u4").tobytes()) for r in mine)
         assert all(r["length"] == 128 for r in mine[1:]) and [r["start"] for r in mine] == [sum(x["length"] for x in mine[:k]) for k in range(len(mine))]
     bins = {}
     for r in out:

@@ -193,7 +193,8 @@ def test_written_sequences_hold_the_ids(spark, tmp_path):
     packing.write_sequences(df, str(tmp_path / "s"), capacity=64)
     encode = packing.Encoder.of(packing.VOCABULARY)
     rows = spark.read.parquet(str(tmp_path / "s")).collect()
-    assert sum(len(r["ids"]) for r in rows) == sum(len(encode(f"document {i} " * (i + 1))) + 1 for i in range(30)) and max(len(r["ids"]) for r in rows) <= 64
+    length = lambda r: len(np.frombuffer(r["ids"], encode.width))
+    assert sum(map(length, rows)) == sum(len(encode(f"document {i} " * (i + 1))) + 1 for i in range(30)) and max(map(length, rows)) <= 64
 
 
 @pytest.mark.parametrize("first", [2, 16])
