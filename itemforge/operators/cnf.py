@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import math
+import sys
+from collections.abc import Callable, Iterable, Sequence
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +62,97 @@ def overlaps(theory: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("overlap"))
 
 
+def each_theory(theories: DataFrame, what: Callable[[list[Clause]], object], name: str, kind: str = "string") -> DataFrame:
+    """(theory, name): `what` of each theory's clauses, theories side by side on the executors; a theory has a task's size."""
+
+    def one(t):
+        return pd.DataFrame({"theory": [t["theory"].iloc[0]], name: [what([tuple(int(x) for x in c) for c in t.sort_values("clause_id")["lits"]])]})
+
+    return theories.groupBy("theory").applyInPandas(one, f"theory int, {name} {kind}")
+
+
+def overlaps_within(theories: DataFrame) -> DataFrame:
+    """(theory, a, b, overlap) of clauses of one theory that share literals."""
+    cells = theories.select("theory", "clause_id", F.explode("lits").alias("lit"))
+    pairs = cells.toDF("theory", "a", "lit").join(cells.toDF("theory", "b", "lit"), ["theory", "lit"]).where("a < b")
+    return pairs.groupBy("theory", "a", "b").agg(F.count("*").alias("overlap"))
+
+
+def widest_overlap(theories: DataFrame) -> DataFrame:
+    """(theory, overlap, a, b): the pair that shares most, the first of them."""
+    best = F.max_by(F.struct("overlap", "a", "b"), F.struct(F.col("overlap"), -F.col("a"), -F.col("b"))).alias("x")
+    return overlaps_within(theories).groupBy("theory").agg(best).select("theory", "x.overlap", "x.a", "x.b")
+
+
+def models_of(theory: Sequence[Clause], n: int) -> list[tuple[int, ...]]:
+    """All complete assignments of variables 1..n that satisfy every clause, by unit propagation and branching."""
+
+    def solve(cs: list[frozenset[int]], v: int, done: tuple[int, ...]) -> list[tuple[int, ...]]:
+        if v > n:
+            return [done]
+        out = []
+        for lit in (-v, v):
+            rest = [c - {-lit} for c in cs if lit not in c]
+            if all(rest):
+                out += solve(rest, v + 1, (*done, lit))
+        return out
+
+    return solve([frozenset(c) for c in theory if c], 1, ()) if all(theory) else []
+
+
+def description_length(theory: Sequence[Clause], violated: int, rows: int, measure: str = "ll") -> float:
+    """Size of a theory: ll, its literals; me and ce add what names the violated examples, by plain index or by entropy of their share."""
+    literals = sum(map(len, theory))
+    if measure == "ll" or not rows:
+        return float(literals)
+    share = violated / rows
+    entropy = -sum(p * math.log2(p) for p in (share, 1 - share) if p > 0)
+    return literals + (violated * math.log2(max(2, rows)) if measure == "me" else rows * entropy)
+
+
+def learn(negatives: Sequence[Clause], positives: Sequence[Clause], measure: str = "ll", minsup: int = 2, lossy: bool = False) -> tuple[list[Clause], float]:
+    """A theory that no positive example violates, from negated negatives, and its compression.
+
+    Clauses are the negations of negative examples.  lossy: a clause first loses literals while every positive
+    example still satisfies it, so it excludes more than was seen.  Then common literal sets become definitions
+    (factored) where the description gets shorter.  compression: what the description lost of its first length.
+    """
+    first = [tuple(sorted(-x for x in e)) for e in dict.fromkeys(tuple(sorted(e)) for e in negatives)]
+    good = [frozenset(p) for p in positives]
+    holds = lambda c: all(p & c or not {-x for x in c} <= p for p in good)
+    theory = [c for c in first if holds(frozenset(c))]
+    if lossy:
+        shorter = []
+        for c in theory:
+            now = frozenset(c)
+            for x in c:
+                if len(now) > 1 and holds(now - {x}):
+                    now = now - {x}
+            shorter.append(tuple(sorted(now)))
+        theory = [c for c in dict.fromkeys(shorter) if not any(set(d) < set(c) for d in shorter)]
+    lost = len(first) - len(theory)
+    size = lambda t: description_length(t, lost, len(first) + len(good), measure)
+    found, _ = factored(theory, minsup)
+    best = found if size(found) < size(theory) else theory
+    start = size(first)
+    return sorted(best, key=lambda c: (-len(c), c)), (start - size(best)) / start if start else 0.0
+
+
+def shortened(example: Iterable[int], definitions: Sequence[tuple[int, Clause]]) -> list[int]:
+    """A partial assignment rewritten by definitions (name, literals), the last one first: a held set of literals becomes its name."""
+    now = set(example)
+    for name, lits in reversed(definitions):
+        if set(lits) <= now:
+            now = (now - set(lits)) | {name}
+    return sorted(now)
+
+
+def compare_lengths(example: Sequence[int], positive: Sequence[tuple[int, Clause]], negative: Sequence[tuple[int, Clause]], default: int) -> int:
+    """1 or 0: the side whose definitions make an example shorter; `default` where both do alike."""
+    a, b = len(shortened(example, positive)), len(shortened(example, negative))
+    return default if a == b else int(a < b)
+
+
 def compress_pair(a: Clause, b: Clause, fresh: int) -> tuple[list[Clause], int] | None:
     """Absorption, V-operator or W-operator on two clauses: new clauses and literals saved; None where none helps."""
     x, y = frozenset(a), frozenset(b)
@@ -206,3 +301,7 @@ def factored(theory: Iterable[Clause], minsup: int, most: int | None = None) ->
         s = frozenset(found)
         clauses = [(c - s) | {fresh} if s <= c else c for c in clauses] + [s | {-fresh}]
         fresh, saved = fresh + 1, saved - lost
+
+
+# tasks get this module's functions with their code, since workers need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

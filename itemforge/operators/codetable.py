@@ -32,6 +32,8 @@ def cover(items: Column, table: Sequence[Itemset], overlap: bool = False) -> Col
     none = F.array().cast("array<array<int>>")
     if not table:
         return F.transform(items, lambda x: F.array(x))
+    if not overlap and len({x for s in table for x in s}) < 63:
+        return masked_cover(items, table)
     sets = F.array(*[F.array(*map(F.lit, s)) for s in table])
 
     def step(acc: Column, s: Column) -> Column:
@@ -45,6 +47,28 @@ def cover(items: Column, table: Sequence[Itemset], overlap: bool = False) -> Col
     return F.aggregate(sets, start, step, lambda acc: F.concat(acc["used"], F.transform(acc["rem"], lambda x: F.array(x))))
 
 
+def masked_cover(items: Column, table: Sequence[Itemset]) -> Column:
+    """The same cover for a table of fewer than 63 items, which are bits of a long."""
+    bit = {x: 1 << i for i, x in enumerate(sorted({x for s in table for x in s}))}
+    names, bits = F.array(*map(F.lit, bit)), F.array(*[F.struct(F.lit(x).alias("x"), F.lit(b).cast("long").alias("b")) for x, b in bit.items()])
+    row = F.lit(0).cast("long")
+    for x, b in bit.items():
+        row = row.bitwiseOR(F.when(F.array_contains(items, x), F.lit(b).cast("long")).otherwise(F.lit(0).cast("long")))
+    sets = F.array(*[F.struct(F.lit(sum(bit[x] for x in s)).cast("long").alias("b"), F.array(*map(F.lit, s)).alias("s")) for s in table])
+
+    def step(acc: Column, s: Column) -> Column:
+        took = F.struct((acc["rem"] - s["b"]).alias("rem"), F.concat(acc["used"], F.array(s["s"])).alias("used"))
+        return F.when(acc["rem"].bitwiseAND(s["b"]) == s["b"], took).otherwise(acc)
+
+    def finish(acc: Column) -> Column:
+        open_names = F.transform(F.filter(bits, lambda n: acc["rem"].bitwiseAND(n["b"]) != 0), lambda n: n["x"])
+        left = F.filter(items, lambda x: ~F.array_contains(names, x) | F.array_contains(open_names, x))
+        return F.concat(acc["used"], F.transform(left, lambda x: F.array(x)))
+
+    start = F.struct(row.alias("rem"), F.array().cast("array<array<int>>").alias("used"))
+    return F.aggregate(sets, start, step, finish)
+
+
 def usages(rows: DataFrame, table: Sequence[Itemset]) -> DataFrame:
     """(items, usage) of the used codes.  Rows may carry a weight column bin."""
     weight = F.col("bin") if "bin" in rows.columns else F.lit(1)
@@ -56,14 +80,28 @@ def lengths(usage: dict[Itemset, int], laplace: int = 0) -> dict[Itemset, float]
     return {s: -math.log2((u + laplace) / total) for s, u in usage.items() if u + laplace > 0}
 
 
-def encoded(rows: DataFrame, table: Sequence[Itemset], bits: dict[Itemset, float], name: str = "bits", unknown: float | None = None) -> DataFrame:
-    """Code length of each row; codes without a length cost `unknown` bits (by default the longest and one more)."""
+def usages_by(rows: DataFrame, table: Sequence[Itemset], label: str) -> dict[object, dict[Itemset, int]]:
+    """Usages of each label's rows, in one job."""
+    each = rows.select(label, F.explode(cover(F.col("items"), table)).alias("items")).groupBy(label, "items").agg(F.count("*").alias("usage"))
+    out: dict[object, dict[Itemset, int]] = {}
+    for r in each.collect():  # a row a code and label
+        out.setdefault(r[label], {})[tuple(r["items"])] = r["usage"]
+    return out
+
+
+def bits_of(codes: Column, bits: dict[Itemset, float], unknown: float | None = None) -> Column:
+    """Length of a cover whose codes are text."""
     default = max(bits.values(), default=0.0) + 1 if unknown is None else unknown
     if not bits:
-        return rows.withColumn(name, F.size("items") * F.lit(float(default)))
+        return F.size(codes) * F.lit(float(default))
     known = F.create_map(*[x for s, b in bits.items() for x in (F.lit(" ".join(map(str, s))), F.lit(float(b)))])
-    each = lambda acc, s: acc + F.coalesce(F.try_element_at(known, F.array_join(s, " ")), F.lit(float(default)))
-    return rows.withColumn(name, F.aggregate(cover(F.col("items"), table), F.lit(0.0), each))
+    return F.aggregate(codes, F.lit(0.0), lambda acc, s: acc + F.coalesce(F.try_element_at(known, s), F.lit(float(default))))
+
+
+def encoded(rows: DataFrame, table: Sequence[Itemset], bits: dict[Itemset, float], name: str = "bits", unknown: float | None = None) -> DataFrame:
+    """Code length of each row; codes without a length cost `unknown` bits (by default the longest and one more)."""
+    codes = F.transform(cover(F.col("items"), table), lambda s: F.array_join(s, " "))
+    return rows.withColumn(name, bits_of(codes, bits, unknown))
 
 
 class Compressor:
@@ -315,9 +353,14 @@ def scores(confused: DataFrame) -> DataFrame:
 
 def classify(rows: DataFrame, tables: dict[int, tuple[Sequence[Itemset], dict[Itemset, float]]]) -> DataFrame:
     """predicted: the label of the shortest code; margin: what the runner-up costs more."""
-    out = rows
+    out, by_table = rows, {}
     for label, (table, bits) in tables.items():
-        out = encoded(out, table, bits, f"bits_{label}")
+        by_table.setdefault(tuple(table), {})[label] = bits
+    for table, models in by_table.items():  # rows are covered once a table
+        lengths_of = lambda codes: F.struct(*[bits_of(codes, b).alias(f"bits_{c}") for c, b in models.items()])  # noqa: B023, E731
+        codes = F.transform(cover(F.col("items"), table), lambda s: F.array_join(s, " "))
+        out = out.withColumn("~bits", F.element_at(F.transform(F.array(codes), lengths_of), 1))
+        out = out.select("*", "`~bits`.*").drop("~bits")
     scores = F.array_sort(F.array(*[F.struct(F.col(f"bits_{c}").alias("bits"), F.lit(c).alias("label")) for c in tables]))
     out = out.withColumn("scores", scores).withColumn("predicted", F.col("scores")[0]["label"])
     return out.withColumn("margin", F.get(F.col("scores"), F.lit(1))["bits"] - F.col("scores")[0]["bits"]).drop("scores")

@@ -71,9 +71,75 @@ def split_on(rows: DataFrame, itemset: list[int]) -> tuple[DataFrame, DataFrame]
     return rows.where(~inside), rows.where(inside)
 
 
+def drawn(seed: int, *ids: Column) -> Column:
+    """A number of 0..2**32-1 for an id, by its hash under a seed: stable, without a sort or shuffle."""
+    return F.conv(F.substring(F.md5(F.concat_ws(" ", F.lit(str(seed)), *ids).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def folded(rows: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """A fold of 0..k-1 for each row, by a hash of its id: no sort, no shuffle, stable."""
-    return rows.withColumn("fold", F.pmod(F.xxhash64("tid", F.lit(seed)), F.lit(k)).cast("int"))
+    """A fold of 0..k-1 for each row, by a hash of its id."""
+    return rows.withColumn("fold", (drawn(seed, F.col("tid")) % k).cast("int"))
+
+
+def sampled(rows: DataFrame, share: float, seed: int = 1) -> DataFrame:
+    """About that share of the rows."""
+    return rows.where(drawn(seed, F.col("tid")) < F.lit(int(share * 2**32)))
+
+
+def shuffled_order(rows: DataFrame, seed: int = 1) -> list[Column]:
+    """Sort keys of a random but repeatable order."""
+    return [drawn(seed, F.col("tid")).asc(), F.col("tid").asc()]
+
+
+def damaged(rows: DataFrame, share: float, columns: list[list[int]] | None = None, seed: int = 1) -> DataFrame:
+    """Rows without some items, and what they lost: any cell with that chance, or only cells of the given columns.
+
+    (tid, items, lost); an item falls by its own hash, so reruns agree.
+    """
+    falls = lambda x: drawn(seed, F.col("tid"), x) < F.lit(int(share * 2**32))
+    aimed = (lambda x: x.isin([i for c in columns for i in c])) if columns else (lambda x: F.lit(True))
+    lost = F.filter("items", lambda x: falls(x) & aimed(x))
+    return rows.select("tid", F.array_except("items", lost).alias("items"), lost.alias("lost"))
+
+
+def accuracy(restored: DataFrame, original: DataFrame) -> DataFrame:
+    """(n, right, accuracy): rows that are again as they were."""
+    both = restored.select("tid", F.col("items").alias("a")).join(original.select("tid", F.col("items").alias("b")), "tid")
+    return both.agg(F.count("*").alias("n"), F.sum((F.array_sort("a") == F.array_sort("b")).cast("long")).alias("right")).withColumn("accuracy", F.col("right") / F.col("n"))
+
+
+def first_seen(rows: DataFrame) -> DataFrame:
+    """(item, code): numbered from 1 as items first come, by row id, then item."""
+    first = rows.select("tid", F.explode("items").alias("item")).groupBy("item").agg(F.min("tid").alias("tid"))
+    return first.select("item", F.row_number().over(Window.orderBy("tid", "item")).alias("code"))  # a row an item
+
+
+def translated_back(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Codes replaced by the items they stand for."""
+    return translated(rows, codes.select(F.col("code").alias("item"), F.col("item").alias("code")))
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """(item, count, percent, bits): rows of an analysis, by item."""
+    n = rows.agg(F.count("*").alias("n"))
+    return standard_code_table(rows).crossJoin(F.broadcast(n)).select("item", "count", (100 * F.col("count") / F.col("n")).alias("percent"), "bits")  # one row
+
+
+def laplace(usage: DataFrame, factor: float, offset: float) -> DataFrame:
+    """Usages as count * factor + offset, and as shares of their sum."""
+    changed = usage.withColumn("usage", F.col("usage") * factor + offset)
+    return changed.withColumn("share", F.col("usage") / F.sum("usage").over(Window.partitionBy()))  # a row a code
+
+
+def cut_off(values: DataFrame, value: str, share: float) -> DataFrame:
+    """(low, high): what stays when that share of the values leaves at each end; with a negative share, the mean less and plus that part of it."""
+    if share < 0:
+        mean = F.avg(value)
+        return values.agg((mean * (1 + share)).alias("low"), (mean * (1 - share)).alias("high"))
+    place = Window.orderBy(value)  # of values that were summed by block, bounded by the histogram
+    ranked = values.select(F.col(value).alias("v"), F.row_number().over(place).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
+    gone = F.floor(F.col("n") * share)
+    return ranked.where((F.col("r") > gone) & (F.col("r") <= F.col("n") - gone)).agg(F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 def frequent_only(rows: DataFrame, minsup: int) -> DataFrame:

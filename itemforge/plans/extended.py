@@ -5,33 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cnf, codetable, mining, profile
 from ..sources import files, tables
 from ..streaming import blocks
-from .queries import COVERED, JOINED, LABEL_BITS, MINED, ORDERS, ROWS, TABLE, THEORY_A, by_label, mined, mined_all, minsup, order, row, text, theory
+from .queries import COVERED, LABEL_BITS, MINED_ANY, ORDERS, ROWS, TABLE, by_label, kind, mined_all, minsup, order, row, text, theory
 
 BOUNDS = [50000, 150000, 250000]
 
 
-def orders_of(rows: DataFrame) -> DataFrame:
-    """The first ten sets by each order, with their places."""
-    sets, out = mined(rows), []
-    for name, spec in mining.ORDERS.items():
-        by = [f(c) for f, c in zip(spec[::2], spec[1::2], strict=True)]
-        first = mining.in_order(sets, name).limit(10).withColumn("place", F.row_number().over(Window.partitionBy().orderBy(*by)))  # ten rows
-        out.append(first.select(F.lit(name).alias("name"), "place", F.array_join("items", " ").alias("items")))
-    return reduce(DataFrame.unionByName, out)
-
-
 def places_of(rows: DataFrame) -> DataFrame:
     """Every set of any length, with its place by each order."""
-    sets, out = mined_all(rows).withColumn("length", F.size("items")).withColumn("area", F.size("items") * F.col("support")), []
-    for name, spec in mining.ORDERS.items():
-        by = [f(c) for f, c in zip(spec[::2], spec[1::2], strict=True)]
-        placed = blocks.blocks(sets, by, 1)
+    sets, out = mining.measured(mined_all(rows)), []
+    for name in ("support", "area", "length", "shortest", "lexicographic", "reverse"):
+        placed = blocks.blocks(sets, mining.order_keys(name), 1)
         out.append(placed.select(F.lit(name).alias("name"), (F.col("block") + 1).cast("int").alias("place"), F.array_join("items", " ").alias("items")))
     return reduce(DataFrame.unionByName, out)
 
@@ -101,24 +90,10 @@ def train_sizes(rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def theory_left(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(cnf.leave_one_out(THEORY_A, 4))), "clause_id int, models long")
-
-
 def theory_factored(spark: SparkSession, d: str) -> DataFrame:
     return theory(spark, cnf.factored(cnf.random_theory(8, 5, 40), 3)[0])
 
 
-def projected(spark: SparkSession, d: str) -> DataFrame:
-    found = [(k, str(cnf.count_models(cnf.random_theory(12, 3, 20, k), 12, range(1, 7)))) for k in range(8)]
-    return spark.createDataFrame(found, "seed int, models string")
-
-
-def theory_parts(spark: SparkSession, d: str) -> DataFrame:
-    parts = cnf.components([frozenset(c) for c in cnf.random_theory(60, 3, 25)])
-    return spark.createDataFrame([(k, len(p)) for k, p in enumerate(sorted(parts, key=len))], "part int, n_clauses int")
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_size": row(lambda r: codetable.table_size(r, TABLE).select(*[F.round(c, 2).alias(c) for c in ("db_bits", "table_bits", "total_bits")])),
     "estimated_gains": row(lambda r: text("a", "b")(codetable.estimated_gains(r, TABLE).withColumn("gain", F.round("gain", 3)))),
@@ -126,13 +101,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "grown_by_gain": row(grown_by("gain")),
     "grown_by_normalised_gain": row(grown_by("normalised")),
     "candidate_unions": row(unions),
-    "collection_orders": order(orders_of),
     "collection_orders_all": order(places_of),
-    "support_histogram": order(lambda r: mining.support_histogram(mined(r))),
-    "size_histogram": order(lambda r: mining.size_histogram(mined(r))),
+    "support_histogram": kind(lambda r: mining.support_histogram(mined_all(r))),
+    "size_histogram": kind(lambda r: mining.size_histogram(mined_all(r))),
     "support_histogram_all": order(lambda r: mining.support_histogram(mined_all(r))),
     "size_histogram_all": order(lambda r: mining.size_histogram(mined_all(r))),
-    "topk_minsup": order(lambda r: mining.topk_minsup(mined(r), 20)),
+    "topk_minsup": kind(lambda r: mining.topk_minsup(mined_all(r), 20)),
     "class_scores": row(lambda r: codetable.scores(codetable.confusion(by_label(r))).select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "accuracy")])),
     "majority_vote": row(lambda r: codetable.majority(r.select("tid", F.explode(F.transform("items", lambda x: x % 3)).alias("vote")))),
     "class_dissimilarity": row(dissimilarities),
@@ -143,28 +117,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "adjacency": neighbours,
     "matrix_rows": marks,
     "stream_bits": block_bits,
-    "theory_leave_one_out": theory_left,
     "theory_factored": theory_factored,
-    "projected_counts": projected,
-    "theory_components": theory_parts,
 }
 
 LOG = "case when {0} > 0 then {0} * log2({0}) else 0 end"
-AREA = "len(items) * support"
-SQL_ORDERS = {
-    "support": "support desc, len(items) desc, items", "area": f"{AREA} desc, len(items) desc, items", "length": "len(items) desc, support desc, items",
-    "shortest": "len(items), support desc, items", "lexicographic": "items", "reverse": "items desc",
-}
 CODES = f"{COVERED}, usage as (select array_to_string(code, ' ') as c, any_value(code) as code, count(*)::double as u from codes group by 1)"
 
 ORACLES: dict[str, str] = {
     "table_size": f"with {CODES}, cell as (select unnest(items) as item from rows), st as (select item, -log2(count(*) / sum(count(*)) over ()) as std from cell group by item), len as (select c, u, -log2(u / sum(u) over ()) as b from usage), spelled as (select c, sum(std) as std from (select c, unnest(code) as item from usage) join st using (item) group by c) select round(sum(u * b), 2) as db_bits, round(sum(std + b), 2) as table_bits, round(sum(u * b) + sum(std + b), 2) as total_bits from len join spelled using (c)",
     "estimated_gains": f"with {CODES}, p as (select x.code as a, y.code as b, count(*) as n from codes x join codes y on x.rid = y.rid and x.code < y.code group by all), t as (select sum(u) as s from usage), g as (select array_to_string(a, ' ') as a, array_to_string(b, ' ') as b, n, x.u as x, y.u as y, s from p join usage x on x.code = a join usage y on y.code = b, t) select a, b, n, round({LOG.format('s')} - {LOG.format('(s - n)')} + {LOG.format('n')} + {LOG.format('(x - n)')} - {LOG.format('x')} + {LOG.format('(y - n)')} - {LOG.format('y')}, 3) as gain from g",
     "candidate_unions": f"with {ROWS}, t(k, s) as (values (0, [2, 12, 23]), (1, [1, 11]), (2, [2, 12]), (3, [3, 11])), w as (select distinct list_sort(list_distinct(x.s || y.s)) as s from t x join t y on x.k < y.k) select array_to_string(s, ' ') as items, count(*) as support from w join rows on list_has_all(rows.items, s) where len(s) <= 4 group by s",
-    "collection_orders": f"with {MINED} " + " union all ".join(f"select '{n}' as name, (row_number() over (order by {o}))::int as place, {JOINED} from mined qualify row_number() over (order by {o}) <= 10" for n, o in SQL_ORDERS.items()),
-    "support_histogram": f"with {MINED} select support, count(*) as n from mined group by support",
-    "size_histogram": f"with {MINED} select len(items)::int as length, count(*) as n, max(support) as support from mined group by 1",
-    "topk_minsup": f"with {MINED} select min(support) as minsup from (select support from mined order by support desc limit 20)",
+    "support_histogram": f"with recursive {MINED_ANY} select support, count(*) as n from mined group by support",
+    "size_histogram": f"with recursive {MINED_ANY} select len(items)::int as length, count(*) as n, max(support) as support from mined group by 1",
+    "topk_minsup": f"with recursive {MINED_ANY} select min(support) as minsup from (select support from mined order by support desc limit 20)",
     "class_scores": f"with {COVERED}{LABEL_BITS}, x as (select label, m from ranked where r = 1), l as (select coalesce(a.label, b.label) as label, a.n as actual, b.n as called from (select label, count(*) as n from x group by label) a full join (select m as label, count(*) as n from x group by m) b on a.label = b.label) select l.label, round((select count(*) from x where x.label = l.label and m = l.label) / called, 6) as precision, round((select count(*) from x where x.label = l.label and m = l.label) / actual, 6) as recall, round((select count(*) filter (where label = m) / count(*) from x), 6) as accuracy from l",
     "majority_vote": f"with {ROWS}, v as (select tid, unnest(items) % 3 as vote from rows), c as (select tid, vote, count(*) as n from v group by all) select tid, vote as predicted from c qualify row_number() over (partition by tid order by n desc, vote) = 1",
     "class_dissimilarity": f"with {COVERED}{LABEL_BITS}, z as (select label, m, sum(b) as b from scored group by all) select x.label as a, y.label as b, round(greatest((xy.b - x.b) / x.b, (yx.b - y.b) / y.b), 6) as dissimilarity from z x join z y on x.label = x.m and y.label = y.m and x.label < y.label join z xy on xy.label = x.label and xy.m = y.label join z yx on yx.label = y.label and yx.m = x.label",
@@ -174,5 +139,4 @@ ORACLES: dict[str, str] = {
     "discretised": "with b(i, x) as (values (0, 50000), (1, 150000), (2, 250000)), m as (select o_orderkey as tid, case when o_totalprice >= x then 1 + 2 * i else 2 + 2 * i end as item from orders, b where o_totalprice is not null) select tid, array_to_string(list_sort(list(item)), ' ') as items from m group by tid",
     "adjacency": "with e as (select l_suppkey as a, -1 - l_linenumber as b from lineitem), x as (select a, b from e union select b, a from e) select a::bigint as node, array_to_string(list_sort(list(distinct b::bigint)), ' ') as items from x group by a",
     "matrix_rows": "select p_partkey as tid, array_to_string(list_filter([case when p_size % 2 = 0 then 0 end, case when p_size % 3 = 0 then 1 end, case when p_size % 5 = 0 then 2 end], lambda x: x is not null), ' ') as items from part",
-    "theory_leave_one_out": "with a as (select i & 1 > 0 as a, i & 2 > 0 as b, i & 4 > 0 as c, i & 8 > 0 as d from range(16) t(i)), v as (select a or b as x, not a or c as y, not b or not c or d as z from a) select 0 as clause_id, count(*) filter (where y and z) as models from v union all select 1, count(*) filter (where x and z) from v union all select 2, count(*) filter (where x and y) from v",
 }

@@ -21,6 +21,8 @@ MINSUP_SHARE = 0.02
 ROWS = f"rows as ({tables.ROW_SQL})"
 CELLS = f"{ROWS}, cells as (select tid, unnest(items) as item from rows)"
 ORDERS = f"{CELLS.replace('tid, unnest(items)', 'tid // 8589934592 as tid, unnest(items)')}, baskets as (select tid, list_sort(list(distinct item)) as items from cells group by tid)"
+KIND = f"kind as ({tables.KIND_SQL})"
+KIND_CELLS = f"{KIND}, kc as (select tid, unnest(items) as item from kind)"
 CLAUSES = f"clauses as ({tables.CLAUSE_SQL})"
 
 
@@ -32,6 +34,10 @@ def row(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], Da
     return lambda spark, d: f(tables.baskets_row(spark, d))
 
 
+def kind(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(tables.baskets_kind(spark, d))
+
+
 def order(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: f(tables.baskets_order(spark, d))
 
@@ -61,11 +67,8 @@ def encoded_rows(rows: DataFrame) -> DataFrame:
 
 
 def by_label(rows: DataFrame) -> DataFrame:
-    models = {}
-    for c in (1, 2, 3):
-        part = rows.where(F.col("label") == c)
-        usage = {tuple(r["items"]): r["usage"] for r in codetable.usages(part, TABLE).collect()}
-        models[c] = (TABLE, codetable.lengths(usage, laplace=1))
+    usage = codetable.usages_by(rows, TABLE, "label")
+    models = {c: (TABLE, codetable.lengths(usage.get(c, {}), laplace=1)) for c in (1, 2, 3)}
     return codetable.classify(rows, models).select("tid", "label", "predicted", F.round("margin", 6).alias("margin"))
 
 
@@ -98,15 +101,6 @@ def stream_blocks(spark: SparkSession, d: str) -> DataFrame:
     return cut.groupBy("block").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
-def model_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(k, str(cnf.count_models(cnf.random_theory(12, 3, 20, k), 12))) for k in range(8)]
-    return spark.createDataFrame(rows, "seed int, models string")
-
-
-def folds(rows: DataFrame) -> DataFrame:
-    return profile.folded(rows, 10).groupBy("fold").agg(F.count("*").alias("n"))
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alphabet": row(profile.alphabet),
     "standard_code_table": row(lambda r: profile.standard_code_table(r).select("item", "count", F.round("bits", 6).alias("bits"))),
@@ -121,17 +115,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "class_labels": row(lambda r: text("items")(profile.class_labels(r, [1, 2, 3]))),
     "split_on_itemset": row(lambda r: profile.split_on(r, [2, 12])[1].select("tid")),
     "frequent_only": order(lambda r: text("items")(profile.frequent_only(r, minsup(r) * 10))),
-    "folds": row(folds),
     "set_algebra": order(lambda r: r.select("tid", F.array_join(sets.union("items", F.array(F.lit(1), F.lit(99))), " ").alias("u"), F.array_join(sets.intersection("items", F.array(F.lit(1), F.lit(11))), " ").alias("i"), F.array_join(sets.remove("items", F.array(F.lit(1), F.lit(11))), " ").alias("d"))),
     "inconsistent": row(lambda r: text("items")(r.where("label = 1").select(F.array_remove("items", 1).alias("items")).intersect(r.where("label = 3").select(F.array_remove("items", 3).alias("items"))))),
     "swap_margins": order(lambda r: profile.alphabet(profile.swap_randomised(r, 2))),
     "apriori": order(lambda r: text("items")(mined(r))),
-    "frequent_all": order(lambda r: text("items")(mining.frequent(r, minsup(r) * 10))),
-    "closed": order(lambda r: text("items")(mining.closed(mined(r)))),
-    "maximal": order(lambda r: text("items")(mining.maximal(mined(r)))),
-    "top_k": order(lambda r: text("items")(mining.top_k(mined(r), 20))),
-    "tiles": order(lambda r: text("items")(mining.tiles(mined(r), 100))),
-    "rules": order(lambda r: text("antecedent")(mining.rules(mined(r), 0.5)).withColumn("confidence", F.round("confidence", 6))),
+    "frequent_all": kind(lambda r: text("items")(mining.frequent(r, minsup(r)))),
+    "closed": kind(lambda r: text("items")(mining.closed(mined_all(r)))),
+    "maximal": kind(lambda r: text("items")(mining.maximal(mined_all(r)))),
+    "top_k": kind(lambda r: text("items")(mining.top_k(mined_all(r), 20))),
+    "tiles": kind(lambda r: text("items")(mining.tiles(mined_all(r), 100))),
+    "rules": kind(lambda r: text("antecedent")(mining.rules(mined_all(r), 0.5)).withColumn("confidence", F.round("confidence", 6))),
     "closed_all": order(lambda r: text("items")(mining.closed(mined_all(r)))),
     "maximal_all": order(lambda r: text("items")(mining.maximal(mined_all(r)))),
     "tiles_all": order(lambda r: text("items")(mining.tiles(mined_all(r), 100))),
@@ -155,9 +148,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "satisfied": clause(lambda r: r.select("clause_id", cnf.satisfies(F.col("lits"), THEORY_A).alias("ok"))),
     "clause_violations": lambda spark, d: cnf.violations(tables.clauses(spark, d).withColumnRenamed("clause_id", "tid"), theory(spark, THEORY_A)),
     "negated_clauses": clause(lambda r: text("lits")(cnf.negated(r))),
-    "clause_overlaps": lambda spark, d: cnf.overlaps(theory(spark, cnf.random_theory(20, 4, 60))),
-    "theory_agreement": lambda spark, d: spark.createDataFrame([(cnf.agreement(spark, THEORY_A, THEORY_B, 10),)], "agreement double"),
-    "model_counts": model_counts,
     "theory_compressed": lambda spark, d: theory(spark, cnf.compress(cnf.random_theory(8, 5, 20))[0]),
     "stream_blocks": stream_blocks,
 }
@@ -173,6 +163,14 @@ f2 as (select a.item as a, b.item as b, count(*) as n from k a join k b on a.tid
 f3 as (select a.item as a, b.item as b, c.item as c, count(*) as n from k a join k b on a.tid = b.tid and a.item < b.item join k c on a.tid = c.tid and b.item < c.item, total
   group by a.item, b.item, c.item, m having count(*) >= m),
 mined as (select [item] as items, n as support from f1 union all select [a, b], n from f2 union all select [a, b, c], n from f3)"""
+#: All frequent sets of any length, as bits: a set is extended by later items, level by level, until none is frequent; needs `with recursive`.
+MINED_ANY = f"""{KIND}, bins as (select m, count(*) as n from (select list_sum(list_transform(items, lambda x: 1::bigint << x))::bigint as m from kind) group by m),
+total as (select greatest(1, floor(sum(n) * {MINSUP_SHARE})) as s from bins),
+f1 as (select i::int as item, sum(n) as sup from bins, range(1, 40) r(i) where (m >> i) & 1 = 1 group by i having sum(n) >= (select s from total)),
+lv(m, last, sup) as (select 1::bigint << item, item, sup from f1 union all
+  select x.m, x.item, sum(bins.n) from (select lv.m | (1::bigint << f1.item) as m, f1.item from lv join f1 on f1.item > lv.last) x join bins on bins.m & x.m = x.m
+  group by x.m, x.item having sum(bins.n) >= (select s from total)),
+mined as (select list_filter(range(1, 40)::int[], lambda i: (m >> i) & 1 = 1) as items, sup::bigint as support from lv)"""
 SUP = "exists (select 1 from mined b where len(b.items) = len(a.items) + 1 and list_has_all(b.items, a.items)"
 JOINED = "array_to_string(items, ' ') as items"
 SAT = "(list_contains(lits, 1) or list_contains(lits, 2)) and (list_contains(lits, -1) or list_contains(lits, 3)) and (list_contains(lits, -2) or list_contains(lits, -3) or list_contains(lits, 4))"
@@ -199,11 +197,12 @@ ORACLES: dict[str, str] = {
     "inconsistent": f"with {ROWS} select array_to_string(i, ' ') as items from (select items[2:] as i from rows where label = 1 intersect select items[2:] from rows where label = 3)",
     "swap_margins": f"with {ORDERS} select item, count(*) as count from (select unnest(items) as item from baskets) group by item",
     "apriori": f"with {MINED} select {JOINED}, support from mined",
-    "closed": f"with {MINED} select {JOINED}, support from mined a where not {SUP} and b.support = a.support)",
-    "maximal": f"with {MINED} select {JOINED}, support from mined a where not {SUP})",
-    "top_k": f"with {MINED} select {JOINED}, support from (select * from mined order by support desc, len(items) desc, items limit 20)",
-    "tiles": f"with {MINED} select {JOINED}, support, len(items) * support as area from mined where len(items) * support >= 100",
-    "rules": f"with {MINED}, p as (select list_filter(items, lambda x: x <> y) as a, y as consequent, support from (select items, support, unnest(items) as y from mined where len(items) > 1)) select array_to_string(a, ' ') as antecedent, consequent, p.support, round(p.support / m.support, 6) as confidence from p join mined m on m.items = p.a where p.support / m.support >= 0.5",
+    "frequent_all": f"with recursive {MINED_ANY} select {JOINED}, support from mined",
+    "closed": f"with recursive {MINED_ANY} select {JOINED}, support from mined a where not {SUP} and b.support = a.support)",
+    "maximal": f"with recursive {MINED_ANY} select {JOINED}, support from mined a where not {SUP})",
+    "top_k": f"with recursive {MINED_ANY} select {JOINED}, support from (select * from mined order by support desc, len(items) desc, items limit 20)",
+    "tiles": f"with recursive {MINED_ANY} select {JOINED}, support, len(items) * support as area from mined where len(items) * support >= 100",
+    "rules": f"with recursive {MINED_ANY}, p as (select list_filter(items, lambda x: x <> y) as a, y as consequent, support from (select items, support, unnest(items) as y from mined where len(items) > 1)) select array_to_string(a, ' ') as antecedent, consequent, p.support, round(p.support / m.support, 6) as confidence from p join mined m on m.items = p.a where p.support / m.support >= 0.5",
     "itemset_support": f"with {ORDERS}, w(s) as (values ([1, 11]), ([2, 12, 21])) select array_to_string(s, ' ') as items, count(*) as support, max(tid) as last from baskets join w on list_has_all(items, s) group by s",
     "low_entropy": f"with {ROWS}, v as (select unnest([1, 2, 3, 11, 12, 21]) as x), p as (select a.x as a, b.x as b from v a join v b on a.x < b.x), c as (select a, b, list_contains(items, a) as ha, list_contains(items, b) as hb, count(*) as n from rows, p group by all), e as (select a, b, log2(sum(n)) - sum(n * log2(n)) / sum(n) as h from c group by a, b) select a || ' ' || b as attrs, round(h, 6) as entropy from e where h <= 1.5",
     "cover_usage": f"with {COVERED} select array_to_string(code, ' ') as items, count(*) as usage from codes group by code",
@@ -216,6 +215,5 @@ ORACLES: dict[str, str] = {
     "satisfied": f"with {CLAUSES} select clause_id, {SAT} as ok from clauses",
     "clause_violations": f"with {CLAUSES}, t(clause_id, neg) as (values (0, [-1, -2]), (1, [1, -3]), (2, [2, 3, -4])) select t.clause_id, clauses.clause_id as tid from clauses join t on list_has_all(lits, neg)",
     "negated_clauses": f"with {CLAUSES} select distinct array_to_string(list_sort(list_transform(lits, lambda x: -x)), ' ') as lits from clauses",
-    "theory_agreement": "with a as (select i, i & 1 > 0 as a, i & 2 > 0 as b, i & 4 > 0 as c, i & 8 > 0 as d, i & 16 > 0 as e from range(1024) t(i)) select avg((((a or b) and (not a or c) and (not b or not c or d)) = ((a or b or c) and (not a or c) and (d or e)))::int) as agreement from a",
     "stream_blocks": "with n as (select event_id, (row_number() over (order by ts, event_id) - 1) // 100 as block from events) select block, count(*) as n, min(event_id) as first_id from n group by block",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +36,30 @@ def baskets_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("tid").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def baskets_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tid, items): the parts of an order, sparse."""
-    rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.col("l_orderkey").alias("tid")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("int"))).alias("items"))
+#: An order's kind: priority 1-5, status 11-13, price bucket 21-25, and wider kinds that those imply, so closed sets differ from frequent ones.
+PRIORITY = "case when o_orderpriority < '2' then 1 when o_orderpriority < '3' then 2 when o_orderpriority < '4' then 3 when o_orderpriority < '5' then 4 else 5 end"
+STATE = "case when o_orderstatus = 'F' then 11 when o_orderstatus = 'O' then 12 else 13 end"
+PRICE = "21 + cast(least(greatest(floor(o_totalprice / 100000), 0), 4) as int)"
+IMPLIED = ("case when o_orderpriority < '3' then 31 end", "case when o_totalprice >= 200000 then 32 end", "case when o_orderstatus in ('F', 'O') then 33 end")
+KIND_SQL = f"select o_orderkey as tid, list_filter([{PRIORITY}, {STATE}, {PRICE}, {', '.join(IMPLIED)}], lambda x: x is not null) as items, {PRIORITY} as label from orders"
+
+
+def baskets_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tid, items, label): an order's kinds, with the wider ones that they imply."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tid"), F.array_compact(F.array(*map(F.expr, (PRIORITY, STATE, PRICE, *IMPLIED)))).alias("items"), F.expr(PRIORITY).alias("label"))
+
+
+#: A theory a nation, over VARIABLES variables: a clause a customer, of up to four literals.
+VARIABLES = 10
+PLACES = ("c_custkey % 10", "(c_custkey % 97) % 10", "(c_custkey % 31 + 3) % 10", "(c_custkey % 53 + 7) % 10")
+LITERAL = "case when ((c_custkey % 7) + ({0})) % 2 = 0 then 1 else -1 end * (1 + ({0}))"
+THEORY_SQL = f"select c_nationkey as theory, c_custkey as clause_id, list_sort(list_distinct([{', '.join(f'({LITERAL.format(p)})::int' for p in PLACES)}])) as lits from customer"
+
+
+def theories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(theory, clause_id, lits)."""
+    lits = F.array(*[F.expr(f"cast({LITERAL.format(p)} as int)") for p in PLACES])
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("theory"), F.col("c_custkey").alias("clause_id"), F.array_sort(F.array_distinct(lits)).alias("lits"))
 
 
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +82,22 @@ def stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "ts", F.array(kinds, F.expr("100 + least(greatest(cast(floor(value / 10) as int), 0), 50)")).alias("items"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; one of our own only for a local session that names none."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return path or "/tmp/checkpoints"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """`df` computed once, in the session's shared checkpoint folder; a folder of our own only where none is named."""
+    """`df` computed once, in the session's shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -6,9 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from itemforge.plans import extended, queries
+from itemforge.plans import extended, further, queries
 
-QUERIES, ORACLES = queries.QUERIES | extended.QUERIES, queries.ORACLES | extended.ORACLES
+QUERIES, ORACLES = queries.QUERIES | extended.QUERIES | further.QUERIES, queries.ORACLES | extended.ORACLES | further.ORACLES
 SF = "/root/testdata/sf0.001"
 
 
