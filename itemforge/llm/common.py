@@ -58,9 +58,15 @@ def materialise(df: DataFrame, name: str, compression: str | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch; of long texts the usual ten thousand fill a task's memory twice.
+ARROW_ROWS = "2000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors' Python workers, once a Spark context."""
+    """Send the package to the executors' Python workers, once a Spark context; Arrow batches get fewer rows where the session leaves them as they come."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     if getattr(context, "_itemforge_sent", False):
         return
     package = importlib.import_module(__name__.split(".")[0])

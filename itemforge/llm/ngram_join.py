@@ -53,7 +53,7 @@ FREQUENT, BEYOND = 32, 0.12
 #: Rows and shingles that one task compares; keys of so few rows go by their hub within large clusters; sets of most links that a large cluster tries.
 GROUP_ROWS, GROUP_SHINGLES, SHORT_LIST, LEADERS = 1024, 2_000_000, 64, 64
 #: Shingles that one counting task holds, bytes hashed at once, and of a slice of a batch.
-COUNTED, CHUNK, SLICE = 2_000_000, 1 << 20, 4 << 20
+COUNTED, CHUNK, SLICE = 2_000_000, 1 << 18, 2 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
