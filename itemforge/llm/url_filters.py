@@ -115,7 +115,10 @@ def links(pages: DataFrame, url: str, html: str) -> DataFrame:
 
     found = pages.select(F.col(url).alias("u"), value("href", first_base).alias("base"), F.explode(F.transform(tags, target)).alias("h")).where("h is not null")
     found = found.withColumn("on", F.when(F.col("base") == "", F.col("u")).otherwise(resolve(F.col("base"), F.col("u"))))
-    return found.select(address(F.col("u")).alias("a"), address(resolve(F.col("h"), F.col("on"))).alias("b")).where("a is not null and b is not null")
+    found = found.withColumn("to", resolve(F.col("h"), F.col("on")))
+    # filters on what explode gives aren't pushed below it, where each use of a column would repeat its whole expression
+    edges = found.select(F.explode(F.array(F.struct(address(F.col("u")).alias("a"), address(F.col("to")).alias("b")))).alias("e"))
+    return edges.select("e.a", "e.b").where("a is not null and b is not null")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
