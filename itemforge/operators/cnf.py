@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
@@ -274,8 +275,26 @@ def random_theory(n_variables: int, clause_size: int, n_clauses: int, seed: int
 
 
 def leave_one_out(theory: Sequence[Clause], n_variables: int) -> list[int]:
-    """Models of the theory without each of its clauses."""
-    return [count_models([c for j, c in enumerate(theory) if j != i], n_variables) for i in range(len(theory))]
+    """Models of the theory without each of its clauses: those of the whole, and the assignments that only this clause excludes.
+
+    Such an assignment makes the clause's literals false, so the others are counted over the variables that it lacks.
+    Equal clauses exclude nothing alone, so each different clause is looked at once.
+    """
+    clauses = [frozenset(c) for c in theory]
+    times = Counter(clauses)
+    whole = count_models(times, n_variables)
+
+    def alone(c: frozenset[int]) -> int:
+        false = {-x for x in c}
+        if times[c] > 1 or c & false:
+            return 0
+        if any(abs(x) > n_variables for d in times for x in d):  # models are projections, which don't add up
+            return count_models([d for d in times if d != c], n_variables) - whole
+        rest = {d - c for d in times if d != c and not d & false}
+        return 0 if frozenset() in rest else count_models(rest, n_variables) >> len(c)
+
+    extra = {c: alone(c) for c in times}
+    return [whole + extra[c] for c in clauses]
 
 
 def factored(theory: Iterable[Clause], minsup: int, most: int | None = None) -> tuple[list[Clause], int]:

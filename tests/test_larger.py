@@ -1,6 +1,8 @@
 """Operators on tables larger than the test data: what travels, and other ways against plain ones."""
 
-from itemforge.operators import mining
+import random
+
+from itemforge.operators import cnf, mining
 
 
 def test_given_sets_travel_and_rows_stay(spark, tmp_path):
@@ -12,3 +14,17 @@ def test_given_sets_travel_and_rows_stay(spark, tmp_path):
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin [~first" in line]
     assert joins and all("BuildRight" in line for line in joins)
     assert sorted(map(tuple, found.select("support", "last").collect())) == [(17, 48)]
+
+
+def test_leaving_out_one_of_many_clauses_counts_few(monkeypatch):
+    counted, plain = [], cnf.count_models
+    monkeypatch.setattr(cnf, "count_models", lambda t, *rest: counted.append(len(t := [*t])) or plain(t, *rest))
+    for seed in range(30):
+        rng = random.Random(seed)
+        theory = [tuple(rng.choice((-1, 1)) * rng.randint(1, 5) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 12))]
+        theory += rng.choices(theory, k=2) if theory else [()]
+        for n in (5, 3):  # with three variables, the others are projected out
+            assert cnf.leave_one_out(theory, n) == [plain(theory[:i] + theory[i + 1 :], n) for i in range(len(theory))]
+    counted.clear()
+    many = cnf.random_theory(6, 3, 40) * 5
+    assert cnf.leave_one_out(many, 6) == [plain(many, 6)] * 200 and len(counted) <= 41
