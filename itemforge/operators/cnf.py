@@ -9,9 +9,11 @@ from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
+
 Clause = tuple[int, ...]
 
 
@@ -72,6 +74,19 @@ def each_theory(theories: DataFrame, what: Callable[[list[Clause]], object], nam
     return theories.groupBy("theory").applyInPandas(one, f"theory int, {name} {kind}")
 
 
+def clauses_within(theories: DataFrame) -> DataFrame:
+    """(theory, clause_id, lits): a clause's literals in order, rows of one id together; without nulls and empty clauses."""
+    cells = theories.where("theory is not null and clause_id is not null").select("theory", "clause_id", F.explode("lits").alias("lit")).where("lit is not null")
+    return cells.groupBy("theory", "clause_id").agg(F.array_sort(F.collect_list("lit")).alias("lits"))
+
+
+def kinds_overlapping(kinds: DataFrame) -> DataFrame:
+    """(theory, a, b, overlap) of kinds (theory, first, lits) that share literals, each with itself too; `first` is a kind's least id."""
+    cells = kinds.select("theory", "first", F.explode("lits").alias("lit"))
+    pairs = cells.toDF("theory", "a", "lit").join(cells.toDF("theory", "b", "lit"), ["theory", "lit"]).where("a <= b")
+    return pairs.groupBy("theory", "a", "b").agg(F.count("*").alias("overlap"))
+
+
 def overlaps_within(theories: DataFrame) -> DataFrame:
     """(theory, a, b, overlap) of clauses of one theory that share literals."""
     cells = theories.select("theory", "clause_id", F.explode("lits").alias("lit"))
@@ -80,9 +95,17 @@ def overlaps_within(theories: DataFrame) -> DataFrame:
 
 
 def widest_overlap(theories: DataFrame) -> DataFrame:
-    """(theory, overlap, a, b): the pair that shares most, the first of them."""
+    """(theory, overlap, a, b): the pair that shares most, the first of them.
+
+    Of two kinds of clauses the first pair is that of their least ids; of one kind, that of its two least.
+    """
+    place = Window.partitionBy("theory", "lits").orderBy("clause_id")  # two clauses a kind stay
+    two = clauses_within(theories).withColumn("place", F.row_number().over(place)).where("place <= 2")
+    kinds = kept(two.groupBy("theory", "lits").agg(F.min("clause_id").alias("first"), F.when(F.count("*") > 1, F.max("clause_id")).alias("second")))
+    pairs = kinds_overlapping(kinds).join(kinds.select("theory", F.col("first").alias("a"), "second"), ["theory", "a"])
+    pairs = pairs.withColumn("b", F.when(F.col("a") == F.col("b"), F.col("second")).otherwise(F.col("b"))).where("b is not null")
     best = F.max_by(F.struct("overlap", "a", "b"), F.struct(F.col("overlap"), -F.col("a"), -F.col("b"))).alias("x")
-    return overlaps_within(theories).groupBy("theory").agg(best).select("theory", "x.overlap", "x.a", "x.b")
+    return pairs.groupBy("theory").agg(best).select("theory", "x.overlap", "x.a", "x.b")
 
 
 def models_of(theory: Sequence[Clause], n: int) -> list[tuple[int, ...]]:

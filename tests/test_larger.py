@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 from itemforge.operators import cnf, mining
 
@@ -47,3 +48,20 @@ def test_tiles_by_open_area(spark):
     for chunk in (512, 30):
         assert mining.tiling(rows, 10, 4, chunk) == want
     assert mining.open_areas(rows, [[1, 2], [50]], [[2, 3]]) == [sum(1 + (3 not in s) for s in sets if {1, 2} <= s), 0]
+
+
+def theories_of(spark):
+    rng = random.Random(9)
+    rows = [(t, i, sorted({rng.choice((-1, 1)) * rng.randint(1, 4) for _ in range(rng.randint(0, 3))})) for t in (1, 2, 3) for i in range(40 * t - 39)]
+    rows += [(2, 5, [1, 2]), (2, None, [1]), (None, 900, [1]), (2, 901, None), (2, 902, [None, 1])]
+    plain = [(t, c, [x for x in lits or [] if x is not None]) for t, c, lits in rows if t is not None and c is not None]
+    want = Counter((t, c, d) for t, c, x in plain for u, d, y in plain if t == u and c < d for i in x for j in y if i == j)
+    return spark.createDataFrame(rows, "theory int, clause_id long, lits array<int>"), {(*k, n) for k, n in want.items()}
+
+
+def test_widest_overlap_joins_kinds_only(spark):
+    theories, want = theories_of(spark)
+    best = {t: min((-n, a, b) for u, a, b, n in want if u == t) for t in {w[0] for w in want}}
+    assert {r["theory"]: (-r["overlap"], r["a"], r["b"]) for r in cnf.widest_overlap(theories).collect()} == best
+    equal = spark.range(200_000).selectExpr("0 as theory", "id as clause_id", "array(1, 2) as lits")  # 20 billion pairs
+    assert list(map(tuple, cnf.widest_overlap(equal).collect())) == [(0, 2, 0, 1)]
