@@ -87,11 +87,20 @@ def kinds_overlapping(kinds: DataFrame) -> DataFrame:
     return pairs.groupBy("theory", "a", "b").agg(F.count("*").alias("overlap"))
 
 
-def overlaps_within(theories: DataFrame) -> DataFrame:
-    """(theory, a, b, overlap) of clauses of one theory that share literals."""
-    cells = theories.select("theory", "clause_id", F.explode("lits").alias("lit"))
-    pairs = cells.toDF("theory", "a", "lit").join(cells.toDF("theory", "b", "lit"), ["theory", "lit"]).where("a < b")
-    return pairs.groupBy("theory", "a", "b").agg(F.count("*").alias("overlap"))
+def overlaps_within(theories: DataFrame, most: int = 4096) -> DataFrame:
+    """(theory, a, b, overlap) of clauses of one theory that share literals.
+
+    Clauses of equal literals are one kind.  Kinds are compared, then each pair of kinds becomes the pairs of its
+    clauses, which are never shuffled; a kind of more than `most` clauses has several lists of about that size.
+    """
+    clauses = clauses_within(theories)
+    kinds = kept(clauses.groupBy("theory", "lits").agg(F.min("clause_id").alias("first"), F.ceil(F.count("*") / most).alias("parts")))
+    dealt = clauses.join(kinds, ["theory", "lits"]).withColumn("part", F.pmod(F.xxhash64("clause_id"), F.col("parts")))
+    lists = kept(dealt.groupBy("theory", "first", "part").agg(F.collect_list("clause_id").alias("ids")))
+    left, right = lists.select("theory", F.col("first").alias("a"), F.col("ids").alias("xs")), lists.select("theory", F.col("first").alias("b"), F.col("ids").alias("ys"))
+    both = kinds_overlapping(kinds).join(left, ["theory", "a"]).join(right, ["theory", "b"])
+    pairs = both.select("theory", "a", "b", "overlap", "ys", F.explode("xs").alias("x")).select("theory", "a", "b", "overlap", "x", F.explode("ys").alias("y"))
+    return pairs.where("a < b or x < y").select("theory", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap")
 
 
 def widest_overlap(theories: DataFrame) -> DataFrame:

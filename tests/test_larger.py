@@ -59,6 +59,13 @@ def theories_of(spark):
     return spark.createDataFrame(rows, "theory int, clause_id long, lits array<int>"), {(*k, n) for k, n in want.items()}
 
 
+def test_overlaps_by_kinds_are_those_of_all_pairs(spark):
+    theories, want = theories_of(spark)
+    assert len(want) > 500
+    for most in (4096, 2):
+        assert sorted(map(tuple, cnf.overlaps_within(theories, most).collect())) == sorted(want)
+
+
 def test_widest_overlap_joins_kinds_only(spark):
     theories, want = theories_of(spark)
     best = {t: min((-n, a, b) for u, a, b, n in want if u == t) for t in {w[0] for w in want}}
