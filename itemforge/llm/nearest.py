@@ -6,12 +6,14 @@ to the files of its own nearest pivots only; there it meets every vector once (i
 that holds it), ranks it by footrule distance of the two prefixes, and ranks again, by exact cosine in
 double precision, all within its radius.
 
-Pivots are spread by farthest-first choice within a bounded sample, so a dense group of near copies
-doesn't take them all.  Their number grows with the root of the table, so files stay short; a long file
-(a group that holds a third of all rows) is cut in chunks.  How many files a query probes, and the
-radius, are measured on the sample: enough for TARGET of the sample's true neighbours each.  The radius
-of a query is the footrule distance of its k-th nearest in the sample, a threshold, not a count: all rows
-at that distance are ranked again.  A query that meets fewer than `top` is answered from all files.
+Pivots are spread by farthest-first choice within bounded samples of rows and of queries, so a dense
+group of near copies doesn't take them all and queries unlike the rows have pivots of their own.  Their
+number grows with the root of the table, so files stay short; a long file (a group that holds a third of
+all rows) is cut in chunks.  How many files a query probes, and the radius, are measured against brute
+force: MEASURED of the queries are compared with every row, and probes and radius must each reach TARGET
+of their true neighbours, whatever the rows are like.  The radius of a query is the footrule distance of
+its k-th nearest in the sample, a threshold, not a count: all rows at that distance are ranked again.
+A query that meets fewer than `top` is answered from all files.
 
 Equal vectors are one point; it carries its top + 1 smallest ids, since no others can be among the
 nearest of any query.
@@ -26,7 +28,7 @@ table gives no rows; other columns are never read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Pivots at least and at most; sampled rows for each, of which so many are asked to measure.
-PIVOTS, MOST_PIVOTS, SAMPLED, MEASURED = 256, 4096, 8, 256
+#: Pivots at least and at most; sampled rows and queries for each; queries that are compared with every row to measure.
+PIVOTS, MOST_PIVOTS, SAMPLED, ASKED, MEASURED = 256, 4096, 8, 2, 512
 #: Files that hold a vector, share of pivots in a prefix, share of true neighbours that probes and radius must each reach.
 POSTED, PREFIX, TARGET = 4, 0.5, 0.985
 #: Vectors that one task compares, orders it holds (queries times pivots), rows ordered at once.
@@ -73,7 +75,7 @@ def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """pivots, unit rows; prefix: length m; probes: files that a query visits; share: of all rows within a radius; sample: prefixes."""
+    """pivots, unit rows; prefix: length m; probes: files that a query visits; share: of the sample within a radius, past 1 without one; sample: prefixes."""
 
     pivots: np.ndarray
     prefix: int
@@ -103,13 +105,26 @@ class Index:
         if not len(self.sample):
             return 0
         near = self.closeness(ranks, self.sample)
-        k = min(len(near), max(1, int(np.ceil(self.share * len(near)))))
-        return int(np.partition(near, len(near) - k)[len(near) - k])
+        k = max(1, int(np.ceil(self.share * len(near))))
+        return 0 if k > len(near) else int(np.partition(near, len(near) - k)[len(near) - k])
+
+    def measured(self, ranks: np.ndarray, needed: np.ndarray, close: np.ndarray, least: float = 0.0) -> Index:
+        """Probes and radius by what true neighbours need: the ranks of their query, the files and the closeness that find each."""
+        if not len(needed) or not len(self.sample):
+            return self
+        near = {r.tobytes(): np.sort(self.closeness(r, self.sample)) for r in np.unique(ranks, axis=0)}
+        n = len(self.sample)
+        places = [n - np.searchsorted(near[r.tobytes()], c, side="right") + 1 for r, c in zip(ranks, close, strict=True)]
+        at_least = lambda xs: float(np.quantile(xs, TARGET, method="higher"))
+        return replace(self, probes=int(at_least(needed)), share=max(least, at_least(places) / n))
 
     @classmethod
-    def fit(cls, sample: np.ndarray, n_pivots: int, top: int) -> Index:
-        """From unit rows: pivots, then probes and radius by what the sample's own nearest need."""
-        pivots = farthest_first(sample, n_pivots) if len(sample) else sample
+    def fit(cls, sample: np.ndarray, n_pivots: int, top: int, asked: np.ndarray | None = None) -> Index:
+        """From unit rows, and queries: pivots, then probes and radius by what the sample's own nearest need."""
+        both = sample if asked is None or not len(asked) else np.concatenate([sample, asked])
+        if both is not sample:
+            both = both[np.sort(np.unique(both, axis=0, return_index=True)[1])]
+        pivots = farthest_first(both, n_pivots) if len(both) else both
         m = max(1, int(PREFIX * len(pivots)))
         index = cls(pivots, m, len(pivots), 1.0, np.zeros((0, m), dtype=np.uint16))
         if len(sample) <= top:
@@ -153,17 +168,59 @@ def points_of(base: DataFrame, top: int) -> DataFrame:
     return few.groupBy("h", "v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
 
 
-def search(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", top: int = TOP, n_pivots: int | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): the `top` nearest rows of each query, its own id left out."""
+def truly_nearest(index: Index, points: DataFrame, asked: list[tuple[int, np.ndarray]], top: int) -> DataFrame:
+    """(k, needed, close): of each of a few queries (id, unit row), by comparing it with every point, what finds its nearest `top`."""
+    shared = points.sparkSession.sparkContext.broadcast((index, np.array([i for i, _ in asked]), np.array([v for _, v in asked])))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix, own, q = shared.value
+        best: list[list[tuple[float, list[int], np.ndarray]]] = [[] for _ in own]
+        floor = np.full(len(own), -2.0)
+        for part in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            x, ids = unit(matrix(part.column(0), q.shape[1])), part.column(1).to_pylist()
+            cosine = q @ x.T
+            alone = np.array([len(n) == 1 for n in ids])
+            cosine[(own[:, None] == np.array([n[0] for n in ids])[None, :]) & alone[None, :]] = -2.0
+            for k in np.flatnonzero(cosine.max(axis=1) > floor):
+                new = np.flatnonzero(cosine[k] > floor[k])
+                new = new[np.argsort(-cosine[k][new], kind="stable")[:top]]
+                best[k] = sorted(best[k] + [(float(cosine[k][i]), ids[i], x[i]) for i in new], key=lambda f: -f[0])[:top]
+                floor[k] = best[k][-1][0] if len(best[k]) == top else -2.0
+        for k, found in enumerate(best):
+            if found:
+                order, ranks = ix.order(np.array([f[2] for f in found])), ix.ranks(ix.order(q[k : k + 1]))[0]
+                needed, close = ranks[order[:, :POSTED]].min(axis=1) + 1, ix.closeness(ranks, order[:, : ix.prefix])
+                columns = [[k] * len(found), [int(own[k])] * len(found), [f[1] for f in found], [f[0] for f in found], needed.tolist(), close.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["k", "own", "ids", "score", "needed", "close"])
+
+    types = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.int32(), pa.int32()]
+    met = points.select("v", "ids").mapInArrow(compare, "k int, own long, ids array<long>, score double, needed int, close int")
+    order = Window.partitionBy("k").orderBy(F.desc("score"), "vec_id")
+    each = met.withColumn("vec_id", F.explode("ids")).where("vec_id <> own").withColumn("rank", F.row_number().over(order))
+    return each.where(F.col("rank") <= top).select("k", "needed", "close")
+
+
+def search(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", top: int = TOP, n_pivots: int | None = None, rerank: int = 0, block: int = CHUNK) -> DataFrame:
+    """(query_id, rank, vec_id, score): the `top` nearest rows of each query, its own id left out.
+
+    rerank: rows, or more, that the radius lets in, were all files probed; block: vectors that one task compares.
+    """
     spark = rows.sparkSession
     base = usable(rows, vec_id, vector)
     sizes = {r["n"]: r["count"] for r in base.groupBy(F.size("v").alias("n")).count().collect()}
     dim = min(sizes, key=lambda n: (-sizes[n], n), default=1)
     points = materialise(points_of(base.where(F.size("v") == dim), top), "nearest-points")
     asked = usable(queries, vec_id, vector).where(F.size("v") == dim).distinct().withColumn("key", F.xxhash64("vec_id", "v"))
-    wanted = n_pivots or min(MOST_PIVOTS, max(PIVOTS, 1 << int(np.ceil(np.log2(max(1, points.count()) ** 0.5)))))
+    n = max(1, points.count())
+    wanted = n_pivots or min(MOST_PIVOTS, max(PIVOTS, 1 << int(np.ceil(np.log2(n**0.5)))))
     sampled = [r["v"] for r in points.orderBy(F.xxhash64("h"), "h", "v").limit(SAMPLED * wanted).select("v").collect()]  # a bounded sample
-    index = Index.fit(unit(np.array(sampled, dtype=np.float64)) if sampled else np.zeros((0, dim)), wanted, top)
+    some = asked.orderBy("key", "vec_id", "v").limit(max(MEASURED, ASKED * wanted)).select("vec_id", "v").collect()  # a bounded sample
+    some_rows = unit(np.array([r["v"] for r in some], dtype=np.float64)) if some else np.zeros((0, dim))
+    index = Index.fit(unit(np.array(sampled, dtype=np.float64)) if sampled else np.zeros((0, dim)), wanted, top, some_rows)
+    if some and sampled:
+        needs = truly_nearest(index, points, [(r["vec_id"], v) for r, v in zip(some[:MEASURED], some_rows, strict=False)], top).collect()  # MEASURED * top at most
+        ranks = index.ranks(index.order(some_rows[:MEASURED]))
+        index = index.measured(ranks[[r["k"] for r in needs]], np.array([r["needed"] for r in needs]), np.array([r["close"] for r in needs]), rerank / n)
     shared = spark.sparkContext.broadcast(index)  # MOST_PIVOTS vectors and SAMPLED * MOST_PIVOTS prefixes at most
     kind = points.schema["v"].dataType.simpleString()
 
@@ -191,12 +248,12 @@ def search(rows: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector:
         found: list[tuple[int, int, float]] = []
         if x.num_rows and q.num_rows:
             pivot = x.column("file")[0].as_py()
-            found = meet(shared.value, unit(matrix(x.column("v"), dim)), unit(matrix(q.column("v"), dim)), np.asarray(q.column("radius")), pivot, top)
+            found = meet(shared.value, unit(matrix(x.column("v"), dim)), unit(matrix(q.column("v"), dim)), np.asarray(q.column("radius")), pivot, top + 1)  # its own point may be one of them
         k, at = pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())
         return pa.table({"query_id": q.column("vec_id").take(k), "key": q.column("key").take(k), "ids": x.column("ids").take(at), "score": pa.array([f[2] for f in found], pa.float64())})
 
     lists = posted.select("h", "v", "ids", F.explode("files").alias("file"))
-    long = lists.groupBy("file").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))  # a row a pivot
+    long = lists.groupBy("file").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))  # a row a pivot
 
     def nearest(those: DataFrame, everything: bool) -> DataFrame:
         visits = materialise(those.mapInArrow(probe(everything), f"vec_id long, v {kind}, key long, radius int, files array<int>"), "nearest-visits")
